@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, token_counts
+from . import bpe, packing, secrets, simhash, token_counts
 from .common import read_table
 
 
@@ -25,11 +25,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, through nested encodings."""
     found = secrets.secret_scan(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op6_bpe, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op6_bpe, op7_simhash, op10_secrets)}
 ORACLES: dict[str, str] = {}
