@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, simhash, token_counts
+from . import bpe, packing, pii, quality, secrets, simhash, token_counts
 from .common import read_table
 
 
@@ -20,6 +20,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.detect(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of every document."""
     return quality.quality(read_table(spark, sf_dir, "documents"))
@@ -41,5 +47,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op5_quality, op6_bpe, op7_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op10_secrets)}
 ORACLES: dict[str, str] = {}
