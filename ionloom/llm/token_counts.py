@@ -72,7 +72,7 @@ def _blocks(specials: list[str], parts: int, block_docs: int, block_bytes: int):
             names: dict[str, int] = {}
             flat: list[int] = []
             sizes = []
-            if len(pieces_of) > 300_000:
+            if len(pieces_of) > 120_000:
                 pieces_of.clear()
             for chunk in chunks:
                 own = pieces_of.get(chunk)
@@ -201,8 +201,8 @@ def token_counts(
     text_col: str = "text",
     specials: tuple[str, ...] = ("<|endoftext|>",),
     limit: int = 1024,
-    block_docs: int = 16384,
-    block_bytes: int = 24 << 20,
+    block_docs: int = 8192,
+    block_bytes: int = 10 << 20,
 ) -> DataFrame:
     """UTF-8 bytes and tokens of each text, and whether the tokens are over ``limit``.
 
