@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, secrets, simhash, token_counts
+from . import bpe, packing, pii, quality, secrets, simhash, token_counts, vptree
 from .common import read_table
 
 
@@ -41,11 +41,31 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, through nested encodings."""
     found = secrets.secret_scan(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op10_secrets)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op9_vptree, op10_secrets)}
+ORACLES: dict[str, str] = {
+    "op9_vptree": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda p: (p[2] - p[1]) * (p[2] - p[1]))), lambda a, b: a + b)) AS score
+            FROM (SELECT DISTINCT ON (vec_id) * FROM usable WHERE vec_id % 100 = 0) q JOIN usable c ON q.vec_id <> c.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS r FROM pairs)
+        SELECT query_id::BIGINT AS query_id, r::INTEGER AS rank, vec_id::BIGINT AS vec_id, score FROM ranked WHERE r <= 10
+    """,
+}
