@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, secrets, simhash, token_counts, vptree
+from . import bpe, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, vptree
 from .common import read_table
 
 
@@ -41,6 +41,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents repeat."""
+    return suffix_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector."""
     vectors = read_table(spark, sf_dir, "embeddings")
@@ -53,7 +58,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op9_vptree, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op8_suffixes, op9_vptree, op10_secrets)}
 ORACLES: dict[str, str] = {
     "op9_vptree": """
         WITH usable AS (
