@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, vptree
+from . import bpe, line_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, vptree
 from .common import read_table
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line, or differ from one by a word."""
+    return line_dedup.removed_lines(read_table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -58,8 +63,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op8_suffixes, op9_vptree, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op8_suffixes, op9_vptree, op10_secrets)}
 ORACLES: dict[str, str] = {
+    "op1_lines": line_dedup.ORACLE,
     "op9_vptree": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
