@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, texts
+from .common import SPACE_CLASS, let
 
 #: Common function words of each language, as they stand inside a sentence.
 COMMON_WORDS = {
@@ -66,7 +66,7 @@ def _histograms(docs: DataFrame) -> DataFrame:
         F.array().cast("array<string>"),
     )
     every = sorted({w for words in COMMON_WORDS.values() for w in words})
-    step = docs.select("doc_id", "text", key.alias("key"), _words(F.coalesce("text", F.lit(""))).alias("words"))
+    step = docs.select("doc_id", "_row", "text", key.alias("key"), _words(F.coalesce("text", F.lit(""))).alias("words"))
     step = step.select(
         "*",
         F.array_join("words", "").alias("glued"),
@@ -77,6 +77,7 @@ def _histograms(docs: DataFrame) -> DataFrame:
     count = lambda pattern: F.char_length("rest") - F.char_length(F.regexp_replace("rest", pattern, ""))
     step = step.select(
         "doc_id",
+        "_row",
         "text",
         "key",
         "words",
@@ -93,6 +94,7 @@ def _histograms(docs: DataFrame) -> DataFrame:
     step = step.withColumn("symbol", F.col("n_rest") - F.col("upper") - F.col("digit") - F.col("point") - F.col("wide"))
     return step.select(
         "doc_id",
+        "_row",
         "text",
         "key",
         "words",
@@ -153,6 +155,7 @@ def quality(
     min_words: int = 60,
     most_class_distance: float = 0.3,
     most_word_distance: float = 0.32,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Counts, distances and the verdict ``kept`` for each row of ``docs``.
 
@@ -161,9 +164,12 @@ def quality(
     with the mean of all such documents, by character classes only.  A document below ``min_chars``
     characters or ``min_words`` words isn't judged by that histogram (its distance is null), nor is
     any where no document is long enough to make a reference.  Repeated rows and null ids each have
-    their row; an empty table gives no rows; other columns are not read.
+    their row; an empty table gives no rows; other columns are not read, but those in ``keep``, which
+    come along in a struct ``_row``.
     """
-    hists = _histograms(texts(docs, id_col, text_col).withColumn("lang", F.lit(None).cast("string")) if lang_col not in docs.columns else texts(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang"))
+    lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    row = F.struct(*(docs[c] for c in keep), F.lit(1).alias("_"))
+    hists = _histograms(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), lang.alias("lang"), row.alias("_row")))
     refs = _references(hists, min_chars, min_words)
     with_hashes = hists.select(
         "*",
@@ -177,6 +183,7 @@ def quality(
     )
     counted = with_hashes.select(
         "doc_id",
+        "_row",
         "key",
         "n_chars",
         "class_hist",
@@ -189,6 +196,7 @@ def quality(
     )
     judged = counted.join(F.broadcast(refs), counted["key"] == refs["ref_key"], "left").select(
         "doc_id",
+        "_row",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -202,4 +210,16 @@ def quality(
         ).alias("word_distance"),
     )
     over = (F.coalesce("class_distance", F.lit(0.0)) > most_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > most_word_distance)
-    return judged.select(*judged.columns[:7], (~F.col("base_failed") & ~over).alias("kept"), "class_distance", "word_distance")
+    own = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select(*own, (~F.col("base_failed") & ~over).alias("kept"), "class_distance", "word_distance", *(["_row"] if keep else []))
+
+
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs`` that :func:`quality` keeps, with their columns.
+
+    The verdict is worked out beside the row, so no join is needed and repeated rows are judged each
+    for itself.
+    """
+    names = docs.columns
+    judged = quality(docs, keep=tuple(names), **options)
+    return judged.where("kept").select(*(F.col("_row")[c].alias(c) for c in names))

@@ -208,3 +208,21 @@ def near_duplicates(
         nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
     )
     return fps.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id.
+
+    Rows of one id are taken as one document: the smallest text of them stands for it.  Rows without
+    an id go by a hash of their text, after all ids.  Columns stay as they are.
+    """
+    names = docs.columns
+    text = docs[text_col].cast("string")
+    # stands in for a null id: above all ids up to 2**62
+    spare = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), spare).alias("_id"), text.alias("_text"), F.struct(*(docs[c] for c in names)).alias("_row"))
+    found = near_duplicates(rows, id_col="_id", text_col="_text", words=words, radius=radius, seed=seed)
+    chosen = settle(found.where("doc_id = component_id").select("doc_id").distinct())
+    kept = rows.join(chosen, rows["_id"] == chosen["doc_id"], "left_semi")
+    one = kept.groupBy("_id").agg(F.min_by("_row", F.coalesce("_text", F.lit(""))).alias("_row"))
+    return one.select(*(F.col("_row")[c].alias(c) for c in names))
