@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,22 @@ def settle(df: DataFrame) -> DataFrame:
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
         )
     return df.checkpoint(eager=True)
+
+
+def squeeze(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays and byte strings as one compressed column value."""
+    parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
+    head = np.array([len(parts), *map(len, parts)], dtype="<i8").tobytes()
+    return zlib.compress(head + b"".join(parts), 1)
+
+
+def unsqueeze(payload: bytes) -> list[bytes]:
+    """The byte strings that :func:`squeeze` took."""
+    raw = zlib.decompress(payload)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    sizes = np.frombuffer(raw, "<i8", n, 8).tolist()
+    at, out = 8 * (n + 1), []
+    for size in sizes:
+        out.append(raw[at : at + size])
+        at += size
+    return out

@@ -11,7 +11,8 @@ more anywhere in the corpus.
   combine before the shuffle, so a passage that a third of all documents hold is no hot task.
 * Matches are extended left and right: around each candidate every stretch of ``min_words`` words that
   holds it is compared with the others in the same way, and neighbouring stretches that match are
-  joined, which gives the passages to the word.
+  joined, which gives the passages to the word.  Stretches travel in blocks of documents, each hash
+  once for a block, as packed columns; what comes back to a block is two bits for each hash.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, texts
+from .common import squeeze as _squeeze
+from .common import texts
+from .common import unsqueeze as _unsqueeze
 
 GRAM = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -93,53 +97,157 @@ def _suffixes(min_words: int, window: int):
     return run
 
 
-_PACKED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("starts", pa.binary()), ("hashes", pa.binary())])
+_ROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
+_ROW_SQL = "block long, part int, payload binary"
+#: Stands for a null document id: before all others.
+NULL_ID = -(1 << 63)
+#: Stretches of a block, which bounds its memory.
+BLOCK = 1_500_000
 
 
-def _stretches(min_words: int, window: int):
-    """For each document with candidates, every stretch of ``min_words`` words that holds one."""
+def _row(block: int, part: int, payload: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([payload], pa.binary())], schema=_ROW)
+
+
+def _stretches(min_words: int, window: int, parts: int):
+    """Every stretch of ``min_words`` words that holds a candidate, hashed, in blocks of documents.
+
+    A block emits a header (which documents, where the stretches start) and, for each part of the
+    hash space, its distinct hashes with the first place of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
         back = np.arange(window)
+        base, number = TaskContext.get().partitionId() << 32, 0
+        docs: list[tuple[int, int, int]] = []
+        starts: list[np.ndarray] = []
+        hashes: list[np.ndarray] = []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            name = base + number
+            number += 1
+            n = np.array([d[2] for d in docs], np.int64)
+            doc = np.repeat(np.array([d[0] for d in docs], np.int64), n)
+            mark = np.repeat(np.array([d[1] for d in docs], np.int32), n)
+            start, h = np.concatenate(starts), np.concatenate(hashes)
+            order = np.lexsort((start, mark, doc, h))
+            new = np.r_[True, h[order][1:] != h[order][:-1]]
+            first = order[new]  # the first place of each distinct hash
+            group = np.empty(len(h), np.int64)
+            group[order] = np.cumsum(new) - 1
+            seen = np.argsort(first, kind="stable")  # distinct hashes by their first place in the block
+            rank = np.empty(len(first), np.int64)
+            rank[seen] = np.arange(len(first))
+            first, which = first[seen], rank[group]
+            times = np.bincount(which, minlength=len(first))
+            home = (h[first] % np.uint64(parts)).astype(np.int32)
+            same = (doc == doc[first[which]]) & (mark == mark[first[which]]) & (start == start[first[which]])
+            yield _row(name, -1, _squeeze(np.array(docs, "<i8").ravel(), np.diff(start, prepend=0).astype("<i4"), np.diff(which, prepend=0).astype("<i4"), home.astype("<i4"), same.astype("<i1")))
+            for p in np.unique(home).tolist():
+                at = first[home == p]
+                yield _row(name, p, _squeeze(h[at].astype("<u8"), doc[at].astype("<i8"), mark[at].astype("<i4"), start[at].astype("<i4"), np.minimum(times[home == p], 2).astype("<i1")))
+            docs.clear()
+            starts.clear()
+            hashes.clear()
+
+        held = 0
         for batch in batches:
-            rows = []
             for doc, mark, text, at in zip(*(c.to_pylist() for c in batch.columns)):
                 h = word_hashes(text, memo)
-                starts = np.unique((np.array(at, np.int64)[:, None] - back).ravel())
-                starts = starts[(starts >= 0) & (starts + min_words <= len(h))]
-                rows.append((doc, mark, starts.astype("<i4").tobytes(), rolled(h, starts, min_words).astype("<u8").tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
+                own = np.unique((np.array(at, np.int64)[:, None] - back).ravel())
+                own = own[(own >= 0) & (own + min_words <= len(h))]
+                if not len(own):
+                    continue
+                docs.append((NULL_ID if doc is None else doc, mark, len(own)))
+                starts.append(own)
+                hashes.append(rolled(h, own, min_words))
+                held += len(own)
+                if held >= BLOCK:
+                    yield from block()
+                    held = 0
+        if docs:
+            yield from block()
 
     return run
 
 
-_STRETCH = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("start", pa.int32())])
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For a part of the hash space: which hashes of each block occur twice or more, and which block has the first."""
+    names, own = [], []
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            starts = [np.frombuffer(s, "<i4") for s in part.column(2).to_pylist()]
-            n = np.array([len(s) for s in starts])
-            which = pa.array(np.repeat(np.arange(len(n)), n))
-            h = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u8").view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(which), part.column(1).take(which), pa.array(np.concatenate(starts))], schema=_STRETCH)
+        for block, part, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            if part < 0:
+                yield _row(block, part, payload)
+            else:
+                names.append((block, part))
+                own.append(_unsqueeze(payload))
+    if not names:
+        return
+    h, doc, mark, start, times = (np.concatenate([np.frombuffer(x[i], t) for x in own]) for i, t in enumerate(("<u8", "<i8", "<i4", "<i4", "<i1")))
+    order = np.lexsort((start, mark, doc, h))
+    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    first = order[new]
+    repeated = np.bincount(group, times.astype(np.int64)) > 1
+    same = (doc == doc[first[group]]) & (mark == mark[first[group]]) & (start == start[first[group]])
+    flags = (repeated[group] + 2 * same).astype("<i1")
+    at = 0
+    for (block, part), x in zip(names, own):
+        n = len(x[0]) // 8
+        yield _row(block, part, _squeeze(flags[at : at + n]))
+        at += n
+
+
+def _spans(min_words: int):
+    """Rows come sorted by block, its header first: neighbouring stretches that match are joined."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("later", pa.bool_())])
+
+    def spans(header: list[bytes], flags: dict[int, np.ndarray]) -> pa.RecordBatch:
+        docs = np.frombuffer(header[0], "<i8").reshape(-1, 3)
+        start = np.cumsum(np.frombuffer(header[1], "<i4"), dtype=np.int64)
+        which = np.cumsum(np.frombuffer(header[2], "<i4"), dtype=np.int64)
+        home = np.frombuffer(header[3], "<i4")
+        flag = np.zeros(len(home), np.int8)
+        for part, own in flags.items():
+            flag[home == part] = own
+        flag = flag[which]
+        first = (flag >= 2) & (np.frombuffer(header[4], "<i1") == 1)
+        owner = np.repeat(np.arange(len(docs)), docs[:, 2])
+        cols: list[list] = [[], [], [], []]
+        for later in (False, True):
+            at = np.flatnonzero((flag % 2 == 1) & (first != later))
+            if not len(at):
+                continue
+            o, s = owner[at], start[at]
+            cut = np.r_[True, (o[1:] != o[:-1]) | (s[1:] > s[:-1] + min_words)]
+            begin = np.flatnonzero(cut)
+            end = np.r_[begin[1:], len(at)] - 1
+            cols[0].append(docs[o[begin], 0])
+            cols[1].append(s[begin])
+            cols[2].append(s[end] + min_words)
+            cols[3].append(np.full(len(begin), later))
+        doc, lo, hi, later = (np.concatenate(c) if c else np.empty(0, np.int64) for c in cols)
+        return pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NULL_ID), pa.array(lo), pa.array(hi), pa.array(later.astype(bool))], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, header, flags = None, [], {}
+        for batch in batches:
+            for block, part, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if part < 0:
+                    if name is not None:
+                        yield spans(header, flags)
+                    name, header, flags = block, _unsqueeze(payload), {}
+                else:
+                    if block != name:
+                        raise ValueError(f"block {block} has no header")
+                    flags[part] = np.frombuffer(_unsqueeze(payload)[0], "<i1")
+        if name is not None:
+            yield spans(header, flags)
 
-def _joined(starts: Column, min_words: int) -> Column:
-    """Sorted starts of matching stretches to the spans that they cover."""
-    span = "array<struct<start:int,stop:int>>"
-    zero = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"), F.array().cast(span).alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        on = s <= acc["stop"]
-        done = F.when(on | (acc["stop"] < 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["start"], acc["stop"]))))
-        return F.struct(F.when(on, acc["start"]).otherwise(s).alias("start"), (s + min_words).alias("stop"), done.alias("out"))
-
-    return F.aggregate(starts, zero, step, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["start"], acc["stop"]))))
+    return run
 
 
 def repeated_passages(
@@ -162,11 +270,8 @@ def repeated_passages(
     hits = suffixes.join(twice, "key", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("at"))
     hits = hits.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "at")
     met = own.join(hits, own["doc_id"].eqNullSafe(hits["d"]) & (own["mark"] == hits["m"])).select("doc_id", "mark", "text", "at")
-    packed = settle(met.mapInArrow(_stretches(min_words, window), "doc_id long, mark int, starts binary, hashes binary"))
-    stretches = packed.mapInArrow(_unpack, "h long, doc_id long, mark int, start int")
-    place = F.struct("doc_id", "mark", "start")
-    groups = stretches.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first")
-    matches = stretches.join(groups, "h").select("doc_id", "mark", "start", (place != F.col("first")).alias("later"))
-    runs = matches.groupBy("doc_id", "mark", "later").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    spans = runs.select("doc_id", "later", F.explode(_joined(F.col("starts"), min_words)).alias("s"))
-    return spans.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"), "later")
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = met.mapInArrow(_stretches(min_words, window, parts), _ROW_SQL)
+    flags = blocks.repartition(parts, F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part"))).mapInArrow(_compare, _ROW_SQL)
+    back = flags.repartition(parts, "block").sortWithinPartitions("block", "part")
+    return back.mapInArrow(_spans(min_words), "doc_id long, start long, stop long, later boolean").distinct()

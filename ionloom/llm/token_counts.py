@@ -23,28 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BYTE_LEVEL_PATTERN, ByteLevelEncoder, split_batch
+from .common import squeeze as _squeeze
 from .common import texts
+from .common import unsqueeze as _unsqueeze
 
 _ROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
 
 
-def _squeeze(*arrays: np.ndarray | bytes) -> bytes:
-    parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    head = np.array([len(parts), *map(len, parts)], dtype="<i8").tobytes()
-    return zlib.compress(head + b"".join(parts), 1)
-
-
-def _unsqueeze(payload: bytes) -> list[bytes]:
-    raw = zlib.decompress(payload)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    sizes = np.frombuffer(raw, "<i8", n, 8).tolist()
-    at, out = 8 * (n + 1), []
-    for size in sizes:
-        out.append(raw[at : at + size])
-        at += size
-    return out
-
-
 def _blocks(specials: list[str], parts: int, block_docs: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
