@@ -57,7 +57,7 @@ def density_center(df: DataFrame, keys: Sequence[str], value: str = "mz", out: s
     """``center`` of each group by :func:`kde_argmax`; one group is one kernel call."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         at = kde_argmax(table.column(value).to_numpy(zero_copy_only=False).astype(float), points)
         return pa.table({**{k: pa.array([v.as_py()], table.schema.field(k).type) for k, v in zip(keys, key)}, out: pa.array([at], pa.float64(), from_pandas=True)})
 

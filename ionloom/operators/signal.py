@@ -81,7 +81,7 @@ def spline_baseline(y: np.ndarray, p: float = 0.5, lam: float = 1e3, knots: int
 def mixture_baseline(df: DataFrame, keys: Sequence[str], size: int = 100, index: str = "index", data: str = "data", p: float = 0.5, most_missing: float = 0.8) -> DataFrame:
     """``baseline`` of each block by :func:`spline_baseline`; missing rows are filled with half the block's median for the fit and stay null."""
     cut = blocks(df, keys, size, index)
-    schema = cut.withColumn("baseline", F.lit(0.0).cast("double")).schema
+    schema = cut.withColumn("baseline", F.lit(None).cast("double")).schema
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(index)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import matrices, signals  # noqa: F401
 from .catalogue import ORACLES, QUERIES, Query
 
 
