@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zlib
 
@@ -46,6 +47,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of steps that are settled go now, not when the driver next collects garbage.
+
+    Spark removes a shuffle's files once nothing refers to it, which it finds out by garbage collection.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def squeeze(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays and byte strings as one compressed column value."""
     parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, settle, texts
+from .common import SPACE_CLASS, let, release, settle, texts
 from .quality import SPACES
 
 #: Stands for a null document id in the order of lines: after all others.
@@ -47,7 +47,7 @@ def _block(length: Column, k: int, blocks: int) -> tuple[Column, Column]:
     return (F.floor(length * k / blocks).cast("int"), F.floor(length * (k + 1) / blocks).cast("int"))
 
 
-def _block_keys(w: Column, n: Column, fuzzy_words: int, blocks: int) -> Column:
+def _block_keys(w: Column, n: Column, fuzzy_words: int, blocks: int) -> list[Column]:
     keys = []
     for less in (0, 1):
         base = n - less
@@ -55,7 +55,7 @@ def _block_keys(w: Column, n: Column, fuzzy_words: int, blocks: int) -> Column:
             lo, hi = _block(base, k, blocks)
             key = F.xxhash64(base, F.lit(k), F.slice(w, F.lit(1), lo), F.slice(w, n - (base - hi) + 1, base - hi))
             keys.append(F.when(base >= fuzzy_words, key))
-    return F.array(*keys)
+    return keys
 
 
 def edit_within_one(a: Column, b: Column) -> Column:
@@ -88,20 +88,22 @@ def removed_lines(
     """
     own = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("mark"), "text")
     place = F.struct("d", "mark", "line")
-    lines = _lines(own).select(place.alias("o"), "w", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(9), F.col("w")).alias("h2"))
+    keys = [f"k{t}" for t in range(2 * blocks)]
+    marked = _lines(own).select("d", "mark", "line", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(9), F.col("w")).alias("h2"), *(k.alias(n) for n, k in zip(keys, _block_keys(F.col("w"), F.size("w"), fuzzy_words, blocks))))
+    lines = settle(marked)  # a few hashes for each line, so that the texts are cut up once
     # 1: the first occurrence of each distinct line
-    keyed = lines.select("o", "h1", "h2", _block_keys(F.col("w"), F.size("w"), fuzzy_words, blocks).alias("keys"))
-    distinct = keyed.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.min("keys").alias("keys"))
+    distinct = lines.groupBy("h1", "h2").agg(*(F.min(k).alias(k) for k in keys))
     # 2: lines that share a variant with a block deleted
-    coarse = distinct.select("h1", F.posexplode("keys").alias("t", "key")).where("key is not null")
+    coarse = distinct.select("h1", F.posexplode(F.array(*keys)).alias("t", "key")).where("key is not null")
     shared = coarse.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     few = coarse.join(shared, "key").groupBy("h1").agg(F.collect_set("t").alias("ts"))
-    firsts = keyed.groupBy("h1", "h2").agg(F.min("o").alias("o"))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("o"))
     wanted = firsts.join(few, "h1").groupBy("o.d", "o.mark").agg(F.collect_set(F.struct("o.line", "h1", "h2", "ts")).alias("wanted"))
     met = own.join(wanted, ["d", "mark"]).select("d", "mark", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
     table = settle(
         met.select(F.struct("d", "mark", F.col("x.line").alias("line")).alias("o"), "x.h1", "x.h2", "x.ts", _word_hashes(F.get("all", F.col("x.line"))).alias("w")).dropDuplicates(["o"])
     )
+    release(docs.sparkSession)
     # 3: variants with one word deleted, and the lines themselves (position -1)
     n = F.size("w")
     spots = []
@@ -128,9 +130,9 @@ def removed_lines(
     right = table.select(F.col("o").alias("of"), F.col("w").alias("wb"))
     near = pairs.join(left, "o").join(right, "of").where(edit_within_one(F.col("wa"), F.col("wb"))).groupBy("h1", "h2").agg(F.min("of").alias("of"))
     # every occurrence of lines that occur twice or are near an earlier one
-    twice = keyed.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.count("*").alias("c"))
+    twice = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
     known = twice.join(near, ["h1", "h2"], "left").where("c > 1 or of is not null").select("h1", "h2", "first", "of")
-    places = lines.select("o", "h1", "h2")
+    places = lines.select(place.alias("o"), "h1", "h2")
     gone = places.join(known, ["h1", "h2"]).where("o > first or of is not null")
     exact = F.col("o") > F.col("first")
     earliest = F.when(exact, F.col("first")).otherwise(F.col("of"))
