@@ -370,7 +370,7 @@ def _pseudo(spark, sf):
     return pseudotime.dot_table(long, sig, "b", 50, 5000)
 
 
-@query("pseudotime_dot_agg", f"WITH {_PSEUDO} SELECT bin, metabolite, {fixed_sql('stat')} AS stat, {fixed_sql('frac', 6)} AS frac, {fixed_sql('(stat - avg(stat) OVER w) / stddev_pop(stat) OVER w', 6)} AS color FROM binned WINDOW w AS (PARTITION BY metabolite)")
+@query("pseudotime_dot_agg", f"WITH {_PSEUDO} SELECT bin, metabolite, {fixed_sql('stat')} AS stat, {fixed_sql('frac', 6)} AS frac, {fixed_sql('coalesce((stat - avg(stat) OVER w) / nullif(stddev_pop(stat) OVER w, 0), 0)', 6)} AS color FROM binned WINDOW w AS (PARTITION BY metabolite)")
 def pseudotime_dot_agg(spark, sf):
     return _pseudo(spark, sf).select("bin", "metabolite", fixed(F.col("stat")).alias("stat"), fixed(F.col("frac"), 6).alias("frac"), fixed(F.col("color"), 6).alias("color"))
 
