@@ -375,7 +375,7 @@ def pseudotime_dot_agg(spark, sf):
     return _pseudo(spark, sf).select("bin", "metabolite", fixed(F.col("stat")).alias("stat"), fixed(F.col("frac"), 6).alias("frac"), fixed(F.col("color"), 6).alias("color"))
 
 
-@query("slope_per_feature", f"WITH {_PSEUDO} SELECT metabolite, {fixed_sql('regr_slope(stat, bin)')} AS slope FROM binned GROUP BY metabolite")
+@query("slope_per_feature", f"WITH {_PSEUDO} SELECT metabolite, {fixed_sql('CASE WHEN count(*) >= 2 THEN regr_slope(stat, bin) END')} AS slope FROM binned GROUP BY metabolite")
 def slope_per_feature(spark, sf):
     return pseudotime.slopes(_pseudo(spark, sf)).select("metabolite", fixed(F.col("slope")).alias("slope"))
 
