@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, settle, texts
 from .common import squeeze as _squeeze
-from .common import texts
 from .common import unsqueeze as _unsqueeze
 
 GRAM = 8
@@ -266,7 +266,9 @@ def repeated_passages(
         raise ValueError("min_words must hold a window of grams")
     own = texts(docs, id_col, text_col).select("doc_id", F.hash("text").alias("mark"), "text")
     suffixes = own.mapInArrow(_suffixes(min_words, window), "key long, doc_id long, mark int, pos int")
-    twice = suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # settled, so that both sides of the join come straight from a shuffle and a hot key can be split
+    twice = settle(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    release(docs.sparkSession)
     hits = suffixes.join(twice, "key", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("at"))
     hits = hits.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "at")
     met = own.join(hits, own["doc_id"].eqNullSafe(hits["d"]) & (own["mark"] == hits["m"])).select("doc_id", "mark", "text", "at")
