@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -52,8 +53,10 @@ def release(spark: SparkSession) -> None:
 
     Spark removes a shuffle's files once nothing refers to it, which it finds out by garbage collection.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of the plans that held them
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def squeeze(*arrays: np.ndarray | bytes) -> bytes:

@@ -96,7 +96,8 @@ def removed_lines(
     # 2: lines that share a variant with a block deleted
     coarse = distinct.select("h1", F.posexplode(F.array(*keys)).alias("t", "key")).where("key is not null")
     shared = coarse.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    few = coarse.join(shared, "key").groupBy("h1").agg(F.collect_set("t").alias("ts"))
+    few = settle(coarse.join(shared, "key").groupBy("h1").agg(F.collect_set("t").alias("ts")))
+    release(docs.sparkSession)
     firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("o"))
     wanted = firsts.join(few, "h1").groupBy("o.d", "o.mark").agg(F.collect_set(F.struct("o.line", "h1", "h2", "ts")).alias("wanted"))
     met = own.join(wanted, ["d", "mark"]).select("d", "mark", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
