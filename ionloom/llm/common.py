@@ -53,10 +53,10 @@ def release(spark: SparkSession) -> None:
 
     Spark removes a shuffle's files once nothing refers to it, which it finds out by garbage collection.
     """
-    for _ in range(2):  # the first round lets go of the plans that held them
+    for _ in range(4):  # each round lets go of what the last one held
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.4)
 
 
 def squeeze(*arrays: np.ndarray | bytes) -> bytes:
