@@ -33,32 +33,52 @@ LIST = 4_000_000
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """The SimHash of a text's word shingles: a bit is 1 if over half the shingles' hashes have it."""
+    return fingerprints(text, words, seed)[0]
+
+
+#: Odd multipliers that turn a shingle's hash into another one, for further rounds (fixed values).
+REMIX = tuple(np.uint64(m) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+
+
+def _remixed(h: np.ndarray, r: int) -> np.ndarray:
+    if r == 0:
+        return h
+    h = (h ^ (h >> np.uint64(31))) * REMIX[r]
+    return h ^ (h >> np.uint64(29))
+
+
+def fingerprints(text: str | None, words: int, seed: int, rounds: int = 1) -> list[int]:
+    """The SimHash by the shingles' hashes, and by further hashes made from them for each further round."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return [0] * rounds
     joined = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return digest(joined, seed)
+        return [int(_remixed(np.array([digest(joined, seed)], np.uint64), r)[0]) for r in range(rounds)]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     ends = np.cumsum(sizes)
     starts = (ends - sizes)[: len(tokens) - words + 1].tolist()
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())], dtype="<u8")
-    ones = np.zeros(BITS, np.int64)
-    for lo in range(0, len(hashes), 8192):
-        ones += np.unpackbits(hashes[lo : lo + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    out = []
+    for r in range(rounds):
+        ones = np.zeros(BITS, np.int64)
+        for lo in range(0, len(hashes), 8192):
+            part = _remixed(hashes[lo : lo + 8192], r)
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
+    return out
 
 
-def _fingerprints(words: int, seed: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def _fingerprints(words: int, seed: int, rounds: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("more", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=schema)
+            fps = np.array([fingerprints(t, words, seed, rounds) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64).reshape(-1, rounds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0]), pa.array(list(fps[:, 1:]), pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -186,7 +206,7 @@ def near_links(fps: DataFrame, radius: int = 4, bucket_bits: int = BUCKET_BITS)
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, seed: int = 42
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, seed: int = 42, rounds: int = 1
 ) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for each row of ``docs``.
 
@@ -195,11 +215,22 @@ def near_duplicates(
     like any other.  Fingerprints link at ``radius`` or fewer differing bits, and a component's id
     is the smallest ``doc_id`` that can be reached (null ids are passed over; a component of null
     ids only has a null id).  Repeated rows each have their row.  An empty table gives no rows.
-    Other columns are not read.
+    Other columns are not read.  ``rounds`` above 1 links by further fingerprints from other hashes of
+    the same shingles too, which catches copies that one fingerprint happens to set further apart.
     """
-    fps = settle(texts(docs, id_col, text_col).mapInArrow(_fingerprints(words, seed), "doc_id long, fp long"))
+    fps = settle(texts(docs, id_col, text_col).mapInArrow(_fingerprints(words, seed, rounds), "doc_id long, fp long, more array<long>"))
     nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    tree = components(near_links(nodes, radius))
+    links = near_links(nodes, radius)
+    if rounds > 1:  # documents are told apart by their first fingerprint
+        also = settle(fps.select("fp", F.posexplode("more").alias("r", "g")).distinct())
+        stands = settle(also.groupBy("r", "g").agg(F.min("fp").alias("b")))
+        links = links.union(also.join(stands, ["r", "g"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
+        for r in range(rounds - 1):
+            own = stands.where(F.col("r") == r).select("g", "b")
+            near = near_links(own.select(F.col("g").alias("fp")), radius)
+            one = near.join(own.select(F.col("g").alias("a"), F.col("b").alias("x")), "a").join(own.select(F.col("g").alias("b"), F.col("b").alias("y")), "b")
+            links = links.union(one.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    tree = components(links)
     # the smallest doc_id of each component of several fingerprints
     member = tree.select(F.col("node").alias("fp"), "root").union(tree.select(F.col("root").alias("fp"), "root").distinct())
     named = nodes.join(member, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
@@ -210,7 +241,7 @@ def near_duplicates(
     return fps.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, seed: int = 42, rounds: int = 1) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest id.
 
     Rows of one id are taken as one document: the smallest text of them stands for it.  Rows without
@@ -221,7 +252,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # stands in for a null id: above all ids up to 2**62
     spare = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), spare).alias("_id"), text.alias("_text"), F.struct(*(docs[c] for c in names)).alias("_row"))
-    found = near_duplicates(rows, id_col="_id", text_col="_text", words=words, radius=radius, seed=seed)
+    found = near_duplicates(rows, id_col="_id", text_col="_text", words=words, radius=radius, seed=seed, rounds=rounds)
     chosen = settle(found.where("doc_id = component_id").select("doc_id").distinct())
     kept = rows.join(chosen, rows["_id"] == chosen["doc_id"], "left_semi")
     one = kept.groupBy("_id").agg(F.min_by("_row", F.coalesce("_text", F.lit(""))).alias("_row"))

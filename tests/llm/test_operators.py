@@ -297,3 +297,25 @@ def test_empty_tables(empty, spark):
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert json.dumps(sorted(queries.ORACLES))
+
+
+def test_more_rounds_catch_more_near_copies(spark):
+    import random
+
+    from .conftest import prose
+
+    rnd = random.Random(4)
+    rows = []
+    for i in range(40):
+        w = prose(300 + i, 300, 3_000).split()
+        rows.append((2 * i, " ".join(w)))
+        for _ in range(2):  # about one shingle in thirty goes
+            w[rnd.randrange(len(w))] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    caught = {}
+    for rounds in (1, 8):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, words=5, rounds=rounds).collect()}
+        assert all(c in (d, d - d % 2) for d, c in got.items())
+        caught[rounds] = sum(c != d for d, c in got.items())
+    assert caught[8] > caught[1] and caught[8] >= 36
