@@ -223,3 +223,35 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     judged = quality(docs, keep=tuple(names), **options)
     return judged.where("kept").select(*(F.col("_row")[c].alias(c) for c in names))
+
+
+def oracle(min_chars: int = 200, min_words: int = 60, most_class: float = 0.3, most_word: float = 0.32) -> str:
+    """The registered query's rows in SQL."""
+    listed = ", ".join(f"('{k}', {i}, '{w}')" for k, words in COMMON_WORDS.items() for i, w in enumerate(words))
+    keys = ", ".join(f"'{k}'" for k in COMMON_WORDS)
+    one = lambda p: f"length(regexp_replace(t, '[^{p}]', '', 'g'))"
+    term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    distance = f"sqrt(greatest(0, sum(({term('p', 'q')} + {term('q', 'p')}) / 2)))"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({keys}) THEN lang ELSE '' END AS k FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, length(t) AS n_chars FROM d),
+    c AS (SELECT *, len(ws) AS n, length(list_aggregate(list_prepend('', ws), 'string_agg', '')) AS wc, {one("a-z")} AS c0, {one("A-Z")} AS c1, {one("0-9")} AS c2,
+            length(regexp_replace(t, '[^.,;:!?''"()-]', '', 'g')) AS c3, length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) AS c5 FROM w),
+    cls AS (SELECT rid, k, n_chars, unnest([0, 1, 2, 3, 4, 5, 6]) AS i, unnest([c0, c1, c2, c3, wc - c0 - c1 - c2 - c3 - c5, c5, n_chars - wc])::DOUBLE / n_chars AS p FROM c WHERE n_chars >= {min_chars}),
+    cls_ref AS (SELECT k, i, avg(p) AS q FROM cls GROUP BY ALL),
+    cd AS (SELECT rid, {distance} AS cd FROM cls JOIN cls_ref USING (k, i) GROUP BY rid),
+    lists(k, i, word) AS (VALUES {listed}),
+    occ AS (SELECT rid, k, unnest(ws) AS word FROM c WHERE n >= {min_words} AND k <> ''),
+    hit AS (SELECT rid, i, count(*) AS m FROM occ JOIN lists USING (k, word) GROUP BY ALL),
+    grid AS (SELECT c.rid, c.k, c.n, l.i, coalesce(h.m, 0) AS m FROM c JOIN lists l ON l.k = c.k LEFT JOIN hit h ON h.rid = c.rid AND h.i = l.i WHERE c.n >= {min_words}),
+    wrd AS (SELECT rid, k, i, m::DOUBLE / n AS p FROM grid UNION ALL SELECT rid, k, 99, (any_value(n) - sum(m))::DOUBLE / any_value(n) FROM grid GROUP BY rid, k),
+    wrd_ref AS (SELECT k, i, avg(p) AS q FROM wrd GROUP BY ALL),
+    wd AS (SELECT rid, {distance} AS wd FROM wrd JOIN wrd_ref USING (k, i) GROUP BY rid),
+    win AS (SELECT rid, i, ws[i:i + 7] AS g FROM (SELECT rid, ws, unnest(generate_series(1, n - 7)) AS i FROM c WHERE n >= 8)),
+    twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS m FROM win) WHERE m > 1),
+    rep AS (SELECT rid, count(DISTINCT i + j) AS m FROM twice, (SELECT unnest(generate_series(0, 7)) AS j) GROUP BY rid),
+    ln AS (SELECT rid, count(*) - count(DISTINCT s) AS m FROM (SELECT rid, unnest(string_split(t, chr(10))) AS s FROM c) WHERE regexp_matches(s, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+    b AS (SELECT c.rid, doc_id, n, wc, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS sy, coalesce(ln.m, 0) AS dl, coalesce(rep.m, 0) AS rw FROM c LEFT JOIN ln USING (rid) LEFT JOIN rep USING (rid))
+    SELECT doc_id::BIGINT AS doc_id, n::BIGINT AS n_words, wc::BIGINT AS word_chars, sy::BIGINT AS n_symbols, dl::BIGINT AS n_dup_lines, rw::BIGINT AS n_repeat_words,
+           (n < 20 OR 100 * rw > 30 * n) AS base_failed, NOT (n < 20 OR 100 * rw > 30 * n) AND coalesce(cd, 0) <= {most_class} AND coalesce(wd, 0) <= {most_word} AS kept
+    FROM b LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid)"""

@@ -33,7 +33,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of every document."""
-    return quality.quality(read_table(spark, sf_dir, "documents"))
+    return quality.quality(read_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_lines, op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op8_suffixes, op9_vptree, op10_secrets)}
 ORACLES: dict[str, str] = {
     "op1_lines": line_dedup.ORACLE,
+    "op5_quality": quality.oracle(),
     "op9_vptree": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
