@@ -92,14 +92,14 @@ def removed_lines(
     marked = _lines(own).select("d", "mark", "line", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(9), F.col("w")).alias("h2"), *(k.alias(n) for n, k in zip(keys, _block_keys(F.col("w"), F.size("w"), fuzzy_words, blocks))))
     lines = settle(marked)  # a few hashes for each line, so that the texts are cut up once
     # 1: the first occurrence of each distinct line
-    distinct = lines.groupBy("h1", "h2").agg(*(F.min(k).alias(k) for k in keys))
+    distinct = settle(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"), *(F.min(k).alias(k) for k in keys)))
+    release(docs.sparkSession)
     # 2: lines that share a variant with a block deleted
     coarse = distinct.select("h1", F.posexplode(F.array(*keys)).alias("t", "key")).where("key is not null")
     shared = coarse.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     few = settle(coarse.join(shared, "key").groupBy("h1").agg(F.collect_set("t").alias("ts")))
     release(docs.sparkSession)
-    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("o"))
-    wanted = firsts.join(few, "h1").groupBy("o.d", "o.mark").agg(F.collect_set(F.struct("o.line", "h1", "h2", "ts")).alias("wanted"))
+    wanted = distinct.select("h1", "h2", F.col("first").alias("o")).join(few, "h1").groupBy("o.d", "o.mark").agg(F.collect_set(F.struct("o.line", "h1", "h2", "ts")).alias("wanted"))
     met = own.join(wanted, ["d", "mark"]).select("d", "mark", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
     table = settle(
         met.select(F.struct("d", "mark", F.col("x.line").alias("line")).alias("o"), "x.h1", "x.h2", "x.ts", _word_hashes(F.get("all", F.col("x.line"))).alias("w")).dropDuplicates(["o"])
@@ -131,8 +131,7 @@ def removed_lines(
     right = table.select(F.col("o").alias("of"), F.col("w").alias("wb"))
     near = pairs.join(left, "o").join(right, "of").where(edit_within_one(F.col("wa"), F.col("wb"))).groupBy("h1", "h2").agg(F.min("of").alias("of"))
     # every occurrence of lines that occur twice or are near an earlier one
-    twice = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
-    known = twice.join(near, ["h1", "h2"], "left").where("c > 1 or of is not null").select("h1", "h2", "first", "of")
+    known = distinct.select("h1", "h2", "first", "c").join(near, ["h1", "h2"], "left").where("c > 1 or of is not null").select("h1", "h2", "first", "of")
     places = lines.select(place.alias("o"), "h1", "h2")
     gone = places.join(known, ["h1", "h2"]).where("o > first or of is not null")
     exact = F.col("o") > F.col("first")
