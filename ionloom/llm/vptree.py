@@ -1,7 +1,7 @@
 """Nearest neighbours by vantage-point trees, one for each shard of the vectors.
 
 Every vector is dealt to a shard at random (so repeated rows spread) and indexed there: a tree splits its vectors at the median distance
-from a vantage point until at most ``leaf`` remain.  The queries meet each shard in blocks.  A block
+from a vantage point until at most ``leaf`` remain.  The queries meet each shard in sets of bounded size, and there in blocks.  A block
 descends the tree together: a subtree is entered only by those queries for which the triangle
 inequality, relaxed by ``slack``, can't rule out a vector nearer than the tenth found so far.  With
 ``slack`` 1 the search is exact; above 1, subtrees are passed over sooner.
@@ -138,6 +138,7 @@ def nearest(
     leaf: int = 64,
     slack: float = 1.0,
     block: int = 256,
+    query_rows: int = 16384,
     seed: int = 3,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` (Euclidean distance): the ``k`` nearest of each query.
@@ -150,9 +151,12 @@ def nearest(
     """
     points = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
-    shards = max(1, -(-points.count() // shard_rows))  # one tree's memory is bounded by shard_rows
-    dealt = points.withColumn("shard", F.floor(F.rand(seed) * shards).cast("int"))
-    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = dealt.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(_search_shard(k, leaf, slack, block), "query_id long, vec_id long, score double")
+    # a task holds one shard and one set of queries, both of bounded size
+    shards = max(1, -(-points.count() // shard_rows))
+    sets = max(1, -(-asked.count() // query_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = points.withColumn("shard", F.floor(F.rand(seed) * shards).cast("int")).withColumn("part", every(sets))
+    sent = asked.withColumn("part", F.floor(F.rand(seed + 1) * sets).cast("int")).withColumn("shard", every(shards))
+    found = dealt.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(_search_shard(k, leaf, slack, block), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
