@@ -156,7 +156,7 @@ def nearest(
     sets = max(1, -(-asked.count() // query_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = points.withColumn("shard", F.floor(F.rand(seed) * shards).cast("int")).withColumn("part", every(sets))
-    sent = asked.withColumn("part", F.floor(F.rand(seed + 1) * sets).cast("int")).withColumn("shard", every(shards))
+    sent = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(sets)).cast("int")).withColumn("shard", every(shards))
     found = dealt.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(_search_shard(k, leaf, slack, block), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
