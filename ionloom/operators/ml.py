@@ -129,7 +129,7 @@ def neighbours(df: DataFrame, k: int = 15, id_col: str = "cell", vector: str = "
 
     n = df.count()
     blocks = max(1, -(-n // block))
-    a = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.floor(F.rand(1) * blocks).cast("int"))
+    a = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = a.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("b").alias("x"), F.col("pair").alias("y"), "id", "v")
     right = a.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("pair").alias("x"), F.col("b").alias("y"), "id", "v")
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.float64())])
