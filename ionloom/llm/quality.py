@@ -222,10 +222,10 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """
     names = docs.columns
     judged = quality(docs, keep=tuple(names), **options)
-    # the filter must not move below the expressions it is made of, which would repeat them many times
-    # over; it can't where the verdict holds something that isn't deterministic
-    held = judged.select("_row", (F.col("kept") & (F.rand(0) >= 0)).alias("_keep"))
-    return held.where("_keep").select(*(F.col("_row")[c].alias(c) for c in names))
+    # Counting what is judged also keeps the filter above the expressions that it is made of: pushed
+    # below them it would repeat each of them many times over.
+    held = judged.select("_row", "kept").observe("judged", F.count(F.lit(1)).alias("documents"))
+    return held.where("kept").select(*(F.col("_row")[c].alias(c) for c in names))
 
 
 def oracle(min_chars: int = 200, min_words: int = 60, most_class: float = 0.3, most_word: float = 0.32) -> str:
