@@ -34,7 +34,8 @@ LAST = (1 << 63) - 1
 def _lines(own: DataFrame) -> DataFrame:
     """A row for each line with a word: its place and the hashes of its words."""
     rows = own.select("d", "mark", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s"))
-    return rows.select("d", "mark", "line", _word_hashes(F.col("s")).alias("w")).where(F.size("w") > 0)
+    worded = rows.where(F.btrim("s", F.lit(SPACES)) != "")  # a filter on the hashes would work them out twice
+    return worded.select("d", "mark", "line", _word_hashes(F.col("s")).alias("w"))
 
 
 def _word_hashes(line: Column) -> Column:
