@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, texts
+from .common import release, settle, texts
 from .components import components
 
 BITS = 64
@@ -222,12 +222,15 @@ def near_duplicates(
     nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     links = near_links(nodes, radius)
     if rounds > 1:  # documents are told apart by their first fingerprint
+        links = settle(links)
+        release(docs.sparkSession)
         also = settle(fps.select("fp", F.posexplode("more").alias("r", "g")).distinct())
         stands = settle(also.groupBy("r", "g").agg(F.min("fp").alias("b")))
         links = links.union(also.join(stands, ["r", "g"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
         for r in range(rounds - 1):
             own = stands.where(F.col("r") == r).select("g", "b")
-            near = near_links(own.select(F.col("g").alias("fp")), radius)
+            near = settle(near_links(own.select(F.col("g").alias("fp")), radius))
+            release(docs.sparkSession)  # a round's shuffle goes before the next one's comes
             one = near.join(own.select(F.col("g").alias("a"), F.col("b").alias("x")), "a").join(own.select(F.col("g").alias("b"), F.col("b").alias("y")), "b")
             links = links.union(one.select(F.col("x").alias("a"), F.col("y").alias("b")))
     tree = components(links)
