@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
 import hashlib
 import lzma
 import re
@@ -39,9 +38,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines; the last may be short.
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 LINE = re.compile(r"[^\n]+")
-#: A base64 run shorter than this can't hold a secret: 12 characters at least.
-MAGIC = ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ\x00", lzma.decompress))
+OPENERS = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor))
+COMPRESSED = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|[\x08\x18\x28\x38\x48\x58\x68\x78](?=..)", re.S)
 
 
 def find(text: str) -> list[tuple[int, str, int]]:
@@ -70,30 +72,58 @@ class Layer:
         return self.starts[start], self.ends[end - 1]
 
 
-def _plain(raw: bytes) -> str | None:
-    """Decoded data counts as text if it is UTF-8 without control characters."""
+def _inflate(raw: memoryview) -> tuple[bytes, int] | None:
+    """What the compressed data at the start of ``raw`` holds, and how many bytes that takes."""
+    for magic, make in OPENERS:
+        if bytes(raw[: len(magic)]) == magic:
+            break
+    else:
+        if len(raw) < 3 or raw[0] & 15 != 8 or (raw[0] << 8 | raw[1]) % 31:
+            return None
+        magic, make = b"", zlib.decompressobj
+    out, at = [], 0
+    while True:  # gzip, bzip2 and xz may have several members
+        member = make()
+        try:
+            part = member.decompress(raw[at:])
+        except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+            break
+        if not member.eof:
+            break
+        out.append(part)
+        at = len(raw) - len(member.unused_data)
+        if not magic or bytes(raw[at : at + len(magic)]) != magic:
+            break
+    return (b"".join(out), at) if out else None
+
+
+def _text(raw: bytes) -> str:
+    """Decoded data as text; what is no UTF-8 counts byte by byte."""
     try:
-        text = raw.decode("utf-8")
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    if not text or any(c < " " and c not in "\t\n\r\f\v" or c == "\x7f" for c in text):
-        return None
-    return text
+        return raw.decode("latin-1")
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    for magic, f in MAGIC:
-        if raw.startswith(magic):
-            try:
-                return f(raw)
-            except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-                return None
-    if len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        try:
-            return zlib.decompress(raw)
-        except zlib.error:
-            return None
-    return None
+def _inflated(raw: bytes, span) -> Iterator[Layer]:
+    """Layers of the compressed data anywhere in ``raw``; ``span(i, j)`` is where its bytes come from."""
+    at = 0
+    while (m := COMPRESSED.search(raw, at)) is not None:
+        found = _inflate(memoryview(raw)[m.start() :])
+        if found is None:
+            at = m.start() + 1
+            continue
+        at = m.start() + found[1]
+        a, b = span(m.start(), at)
+        yield from _opened(found[0], a, b)
+
+
+def _opened(raw: bytes, a: int, b: int) -> Iterator[Layer]:
+    """Unwrapped bytes as a layer, and the compressed data in them."""
+    if raw:
+        text = _text(raw)
+        yield Layer(text, [a] * len(text), [b] * len(text))
+        yield from _inflated(raw, lambda i, j: (a, b))
 
 
 def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
@@ -102,6 +132,8 @@ def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
         if not pattern.search(line[0]):
             continue
         out, starts, ends, at = [], [], [], line.start()
+        raw: list[bytes] = []  # the line as bytes, in which compressed data stands
+        from_, to = [], []
 
         def keep(lo: int, hi: int) -> None:
             out.append(layer.text[lo:hi])
@@ -109,6 +141,12 @@ def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
                 a, b = layer.span(i, i + 1)
                 starts.append(a)
                 ends.append(b)
+                put(layer.text[i].encode("utf-8", "surrogatepass"), a, b)
+
+        def put(data: bytes, a: int, b: int) -> None:
+            raw.append(data)
+            from_.extend([a] * len(data))
+            to.extend([b] * len(data))
 
         for m in pattern.finditer(layer.text, line.start(), line.end()):
             pieces = decode(m[0])
@@ -120,9 +158,15 @@ def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
                 out.append(new)
                 starts += [a] * len(new)
                 ends += [b] * len(new)
+                if pattern is not URL:
+                    put(new.encode("latin-1" if new < "\u0100" else "utf-8", "surrogatepass"), a, b)
+            if pattern is URL:
+                for k, byte in enumerate(unquote_to_bytes(m[0])):
+                    put(bytes((byte,)), *layer.span(m.start() + 3 * k, m.start() + 3 * k + 3))
             at = m.end()
         keep(at, line.end())
         yield Layer("".join(out), starts, ends)
+        yield from _inflated(b"".join(raw), lambda i, j: (from_[i], to[j - 1]))
 
 
 def _url(run: str) -> list[tuple[int, int, str]] | None:
@@ -150,19 +194,27 @@ def _unicode(escape: str) -> list[tuple[int, int, str]] | None:
 
 def _base64(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.translate(_URLSAFE) + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        while (more := _inflate(raw)) is not None:
-            raw = more
-        text = _plain(raw)
-        if text is not None:
-            a, b = layer.span(m.start(), m.end())
-            yield Layer(text, [a] * len(text), [b] * len(text))
+        yield from _decoded(m[0], *layer.span(m.start(), m.end()))
+    if "\n" not in layer.text:
+        return
+    for m in WRAPPED.finditer(layer.text):
+        lines = list(BASE64_LINE.finditer(layer.text, m.start(), m.end()))
+        width = None
+        for k, line in enumerate(lines[:-1]):
+            # a line of another width than the one before may be where the data starts
+            if len(line[0]) != width:
+                yield from _decoded("".join(x[0] for x in lines[k:]), *layer.span(line.start(), m.end()))
+            width = len(line[0])
+
+
+def _decoded(run: str, a: int, b: int) -> Iterator[Layer]:
+    run = run.rstrip("=")
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    try:
+        raw = base64.b64decode(run.translate(_URLSAFE) + "=" * (-len(run) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return
+    yield from _opened(raw, a, b)
 
 
 _URLSAFE = str.maketrans("-_", "+/")
