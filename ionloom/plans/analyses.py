@@ -30,7 +30,7 @@ def extract_events(spark, sf):
 @query("cell_peaks")
 def cell_peaks(spark, sf):
     scans, peak_table = _acquisition(spark, sf)
-    cells = scans.where("scan_index % 50 = 0").select("run_id", "scan_index", F.format_string("Cell%05d", F.col("scan_index")).alias("cell"))
+    cells = scans.select("run_id", "scan_index", F.format_string("Cell%05d", F.col("scan_index")).alias("cell"))
     return workflows.cell_peaks(cells, peak_table, 1, 200).select("cell", "mz", "intensity", "pos")
 
 
@@ -54,5 +54,5 @@ def annotate_cells(spark, sf):
 @query("peak_matching")
 def peak_matching(spark, sf):
     signals = series(spark, sf).withColumnRenamed("event_type", "feature")
-    cells = spark.range(2000).select(F.format_string("Cell%05d", F.col("id")).alias("cell"), (F.col("id") * 3).alias("scan_index"))
+    cells = signals.select(F.col("index").alias("scan_index")).distinct().select(F.format_string("Cell%05d", F.col("scan_index")).alias("cell"), "scan_index")
     return workflows.match_peaks(signals, cells, k=2).select("feature", "cell", "apex", fixed(F.col("intensity")).alias("intensity"))
