@@ -336,7 +336,7 @@ def hrgc_features(spark, sf):
 
 @query("kde_center")
 def kde_center(spark, sf):
-    return peaks.density_center(peak_table(spark, sf).select("cell", "mz"), ["cell"], points=2000)
+    return peaks.density_center(peak_table(spark, sf).select("cell", "mz"), ["cell"])
 
 
 @query(
