@@ -247,16 +247,23 @@ def near_duplicates(
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, seed: int = 42, rounds: int = 1) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest id.
 
-    Rows of one id are taken as one document: the smallest text of them stands for it.  Rows without
-    an id go by a hash of their text, after all ids.  Columns stay as they are.
+    Rows of one id whose texts aren't near are documents of their own; in a group, equal ids go by a
+    hash of the text.  Rows without an id go by a hash of their text, after all ids.  Columns stay as
+    they are.
     """
     names = docs.columns
     text = docs[text_col].cast("string")
     # stands in for a null id: above all ids up to 2**62
     spare = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), spare).alias("_id"), text.alias("_text"), F.struct(*(docs[c] for c in names)).alias("_row"))
-    found = near_duplicates(rows, id_col="_id", text_col="_text", words=words, radius=radius, seed=seed, rounds=rounds)
-    chosen = settle(found.where("doc_id = component_id").select("doc_id").distinct())
-    kept = rows.join(chosen, rows["_id"] == chosen["doc_id"], "left_semi")
-    one = kept.groupBy("_id").agg(F.min_by("_row", F.coalesce("_text", F.lit(""))).alias("_row"))
+    mark = F.coalesce(F.xxhash64(text), F.lit(0))  # tells texts of one id apart
+    rows = docs.select(
+        F.coalesce(docs[id_col].cast("long"), spare).alias("_id"), mark.alias("mark"), text.alias("_text"), F.struct(*(docs[c] for c in names)).alias("_row")
+    )
+    # texts stand for themselves: their marks are grouped, and a group's smallest id is looked up after
+    found = near_duplicates(rows.select("mark", "_text").distinct(), id_col="mark", text_col="_text", words=words, radius=radius, seed=seed, rounds=rounds)
+    groups = found.select(F.col("doc_id").alias("mark"), "component_id").distinct()
+    own = rows.select("_id", "mark").distinct().join(groups, "mark")
+    chosen = settle(own.groupBy("component_id").agg(F.min(F.struct("_id", "mark")).alias("one")).select("one._id", "one.mark"))
+    kept = rows.join(chosen, ["_id", "mark"], "left_semi")
+    one = kept.groupBy("_id", "mark").agg(F.min_by("_row", "mark").alias("_row"))
     return one.select(*(F.col("_row")[c].alias(c) for c in names))
