@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import file_name
+
 PEAKS = "array<struct<mz:double,intensity:double>>"
 #: Marker lines of the text export (fixed values of the format).
 MZ_LINE, INTENSITY_LINE = "cvParam: m/z array, m/z", "cvParam: intensity array, number of detector counts"
@@ -33,7 +35,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
     A total ion current that is no number is null.
     """
-    records = spark.read.option("lineSep", "spectrum:").text(path).select("value", F.col("_metadata.file_name").alias("run_id"))
+    records = spark.read.option("lineSep", "spectrum:").text(path).select("value", file_name().alias("run_id"))
     value = F.col("value")
 
     def numbers(marker: str):
@@ -86,7 +88,7 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     start = of(F.col("scanList.scan")[0]["cvParam"], START)
     seconds = start["_value"].try_cast("double")
     scans = rows.select(
-        F.col("_metadata.file_name").alias("run_id"),
+        file_name().alias("run_id"),
         F.col("_index").alias("scan_index"),
         F.element_at(F.split("_id", "="), -1).alias("scan_id"),
         F.when(start["_unitAccession"] == MINUTE, seconds).otherwise(seconds / 60).alias("scan_start_time"),

@@ -6,17 +6,22 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def file_name() -> Column:
+    """The name of the file a row was read from; the reader has it with percent escapes, in which a plus is a plus."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_batches(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """All CSV or Parquet files of a directory with ``batch``, the file's name without extension and ``prefix``."""
     if re.search(r"\.xlsx?$", path, re.I):
         raise ValueError("spreadsheets need to be saved as CSV or Parquet first")
     kind = "parquet" if path.rstrip("/*").endswith("parquet") else "csv"
     reader = spark.read.option("header", "true").option("inferSchema", "true") if kind == "csv" else spark.read
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]+)?$", 1)
+    name = F.regexp_extract(file_name(), r"^(.*?)(\.[^.]+)?$", 1)
     return reader.format(kind).load(path).select("*", F.regexp_replace(name, "^" + re.escape(prefix), "").alias("batch"))
 
 

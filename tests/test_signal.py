@@ -88,9 +88,9 @@ def test_maxima_edges_and_gaps(spark):
 def test_baseline_of_missing_blocks(spark):
     rows = [("a", i, 5.0 if i % 5 == 0 else None) for i in range(100)] + [("a", i, float(i % 7)) for i in range(100, 200)] + [("a", i, 1.0) for i in range(200, 300)]
     df = spark.createDataFrame(rows, "k string, index long, data double")
-    base = {r.index: r.baseline for r in signal.median_baseline(df, ["k"]).collect()}
+    base = {r["index"]: r.baseline for r in signal.median_baseline(df, ["k"]).collect()}
     assert base[0] is None and base[150] is not None
-    fitted = {r.index: r.baseline for r in signal.mixture_baseline(df, ["k"]).collect()}
+    fitted = {r["index"]: r.baseline for r in signal.mixture_baseline(df, ["k"]).collect()}
     assert fitted[0] is None and fitted[1] is None and fitted[150] is not None
 
 
