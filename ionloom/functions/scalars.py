@@ -17,6 +17,16 @@ def log1p(x: Column, base: float | None = None) -> Column:
     return out if base is None else out / F.lit(math.log(base))
 
 
+def sqrt(x: Column) -> Column:
+    """Square root; null for a negative value."""
+    return F.when(x >= 0, F.sqrt(x))
+
+
+def above_baseline(x: Column, baseline: Column) -> Column:
+    """The difference to the baseline, negative where it lies below; null where either is missing."""
+    return x - baseline
+
+
 def corrected_signal(data: Column, baseline: Column) -> Column:
     """Data above the baseline; 0 where there is no baseline or it is as high; null data stay null."""
     return F.when(baseline.isNull() | (baseline >= data), F.lit(0.0)).otherwise(data - baseline)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,6 +172,39 @@ def regress_out(df: DataFrame, keys: Sequence[str], regressor: str, value: str =
     return df.withColumn(value, y - F.avg(y).over(w) - slope * (x - F.avg(x).over(w)))
 
 
+def regress_out_many(df: DataFrame, keys: Sequence[str], regressors: Sequence[str], value: str = "value", intercept: bool = True) -> DataFrame:
+    """Residuals of least squares on several numeric regressors within each group.
+
+    The normal equations of a group, whose size is the number of regressors squared, are sums over its
+    rows; they are solved in Arrow batches of groups, by the pseudo-inverse where they are singular.
+    Rows with a missing value or regressor don't count and get null.
+    """
+    x = [F.col(c).cast("double") for c in regressors] + ([F.lit(1.0)] if intercept else [])
+    p, y = len(x), F.col(value).cast("double")
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [value, *regressors]])
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = [F.sum(x[i] * x[j]).alias(f"_g{i}_{j}") for i, j in pairs] + [F.sum(x[i] * y).alias(f"_y{i}") for i in range(p)]
+    gram = df.where(whole).groupBy(*keys).agg(*sums)
+    fields = [f for f in gram.schema.fields if f.name in keys]
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def solve(batches):
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+            g, r = np.zeros((batch.num_rows, p, p)), np.zeros((batch.num_rows, p, 1))
+            for i, j in pairs:
+                g[:, i, j] = g[:, j, i] = column(f"_g{i}_{j}")
+            for i in range(p):
+                r[:, i, 0] = column(f"_y{i}")
+            beta = (np.linalg.pinv(g, hermitian=True) @ r)[:, :, 0] if len(g) else np.zeros((0, p))
+            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(list(beta), pa.list_(pa.float64()))], names=[*(f.name for f in fields), "_beta"])
+
+    beta = gram.mapInArrow(solve, f"{names}, _beta array<double>")
+    fitted = reduce(lambda a, b: a + b, [F.col("_beta")[i] * x[i] for i in range(p)])
+    return df.join(beta, list(keys), "left").withColumn(value, F.when(whole, y - fitted)).drop("_beta")
+
+
 # ranks, groups, centroids
 
 

@@ -64,6 +64,11 @@ def density_center(df: DataFrame, keys: Sequence[str], value: str = "mz", out: s
     return df.select(*keys, value).groupBy(*keys).applyInArrow(run, f"{fields}, {out} double")
 
 
+def intensity_threshold(peaks: DataFrame, intensity: str = "intensity") -> DataFrame:
+    """One row with the mean and the median of all intensities, nulls passed over."""
+    return peaks.agg(F.avg(intensity).alias("mean"), F.median(intensity).alias("median"))
+
+
 def extract_channel_twice(scans: DataFrame, peaks: DataFrame, target: float, ppm: float = 10, first_ppm: float = 20, **options) -> tuple[DataFrame, float]:
     """A wide pass, the density centre of the masses it finds, and a pass around that centre; gives the centre too."""
     wide = extract_channel(scans, peaks, target, first_ppm, **options).where("mz is not null").select(F.lit(0).alias("g"), "mz")

@@ -162,6 +162,28 @@ def flank_check(df: DataFrame, keys: Sequence[str], value: str = "baseline", ind
     return df.withColumn("flank", flank).withColumn("stable", F.abs(F.col("flank")) < most)
 
 
+def raw_threshold(df: DataFrame, keys: Sequence[str], data: str = "data", k: float = 5) -> DataFrame:
+    """``threshold`` of each row above its baseline: that of the raw values, missing ones passed over, less the row's ``baseline`` (a missing one counts as 0)."""
+    limit = trimmed_threshold(df.where(F.col(data).isNotNull()), keys, data, k)
+    return df.join(limit, list(keys), "left").withColumn("threshold", F.col("threshold") - F.coalesce("baseline", F.lit(0.0)))
+
+
+def optical_peaks(traces: DataFrame, keys: Sequence[str] = ("channel",), k: float = 3, interval: int = 60, *, size: int = 1000, reach: int = 1000, most: float = 0.1, method: str = "mixture_spline", index: str = "idx", data: str = "intensity", drop_zero: bool = False) -> DataFrame:
+    """Peaks of optical traces with ``baseline`` and ``corrected_intensity``.
+
+    The threshold comes from the signal above the baseline, the peaks from the raw intensity; those stay
+    where the baseline's mean over ``reach`` rows before and after differs by less than ``most``.
+    ``drop_zero`` leaves out peaks that don't rise above the baseline.
+    """
+    based = {"median": median_baseline, "mixture_spline": mixture_baseline}[method](traces, keys, size, index, data)
+    corrected = with_signal(based, data)
+    limit = trimmed_threshold(corrected, keys, "signal", k)
+    checked = flank_check(corrected, keys, "baseline", index, reach, most)
+    tops = suppress(local_maxima(checked.join(limit, list(keys)), keys, data, index, min_height="threshold"), keys, interval, data, index)
+    out = tops.where("stable").withColumn("corrected_intensity", F.col("signal")).drop("block", "signal", "flank", "stable", "threshold")
+    return out.where("corrected_intensity > 0") if drop_zero else out
+
+
 def detect_events(df: DataFrame, keys: Sequence[str], k: float = 3, interval: int = 6, size: int = 100, method: str = "median", index: str = "index", data: str = "data") -> DataFrame:
     """Events of each series: baseline, threshold, local maxima above it, suppression within ``interval``."""
     based = {"median": median_baseline, "mixture_spline": mixture_baseline}[method](df, keys, size, index, data)

@@ -11,10 +11,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MarkerMask, cell_number
+from ..functions.scalars import MarkerMask, above_baseline, batch_cell, cell_number, feature_names
 from ..sources.config import main_marker
 from . import joins, peaks, signal
 from .batch import align, kept_cells, merge
+from .features import annotate, hit_rate_features
 
 KEYS = ("run_id",)
 
@@ -86,6 +87,78 @@ def match_peaks(signals: DataFrame, cells: DataFrame, keys: Sequence[str] = ("fe
     return met.groupBy(*keys, "cell").agg(best.alias("b")).select(*keys, "cell", "b.apex", "b.intensity")
 
 
+def assemble(cells: DataFrame, matrix: DataFrame, signals: DataFrame, features: DataFrame | None = None, main: str = "TIC", *, size: int = 100, method: str = "median") -> dict[str, DataFrame]:
+    """The tables of an analysis: ``obs``, ``var`` and the long matrix ``x``.
+
+    ``obs``: the cells with ``tic_baseline`` (of the main marker, at the cell's own row),
+    ``tic_corrected`` and ``n_metabolites``, the number of values a cell has.  ``x``: values as numbers,
+    null where they are none.  ``var``: the features with the cells that have them, named by their
+    metabolite or mass where ``features`` has these.  A cell without values counts 0.
+    """
+    own = signals.where(F.col("marker") == main)
+    based = {"median": signal.median_baseline, "mixture_spline": signal.mixture_baseline}[method](own, ["run_id", "marker"], size)
+    base = based.select("run_id", F.col("index").alias("scan_index"), F.col("baseline").alias("tic_baseline"))
+    x = matrix.withColumn("value", F.col("value").cast("string").try_cast("double"))
+    counts = x.groupBy("cell").agg(F.count("value").alias("n_metabolites"))
+    obs = cells.join(base, ["run_id", "scan_index"], "left").join(counts, "cell", "left")
+    obs = obs.withColumn("tic_corrected", above_baseline(F.col("tic"), F.col("tic_baseline"))).withColumn("n_metabolites", F.coalesce("n_metabolites", F.lit(0)))
+    var = x.groupBy("feature").agg(F.count("value").alias("n_cells"))
+    if features is not None:
+        var = features.join(var, "feature", "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0)))
+        if {"metabolite", "mz_center"} <= set(features.columns):
+            var = feature_names(var)
+    return {"obs": obs, "var": var, "x": x}
+
+
+def without_events(cells: DataFrame, removed: DataFrame, number: str = "number") -> DataFrame:
+    """Cells without those whose place in acquisition order (from 1, within the run) is listed, named anew in that order."""
+    order = Window.partitionBy("run_id").orderBy("scan_index")
+    placed = cells.withColumn("_n", F.row_number().over(order).cast("long"))
+    gone = removed.select("run_id", F.col(number).cast("long").alias("_n")).distinct()
+    return placed.join(gone, ["run_id", "_n"], "left_anti").withColumn("cell", cell_number(F.row_number().over(order))).drop("_n")
+
+
+def update_matrix(cells: DataFrame, removed: DataFrame, peak_table: DataFrame, library: DataFrame, *, offset: int = 1, least_intensity: float = 200, least_rate: float = 0.1, ppm: float = 10) -> dict[str, DataFrame]:
+    """What is left after events are removed: ``cells``, their ``peaks``, and the ``features`` found again and annotated."""
+    kept = without_events(cells, removed)
+    spectra = cell_peaks(kept, peak_table, offset, ppm)
+    found = hit_rate_features(spectra, least_intensity, least_rate, ppm)
+    numbered = found.withColumn("feature", F.xxhash64("mz_center", "hits"))
+    return {"cells": kept, "peaks": spectra, "features": annotate(numbered, library, ppm)}
+
+
+def split_batches(table: DataFrame, n_metadata: int = 8, batch: str = "batch", key: str = "feature") -> dict[str, DataFrame]:
+    """A wide batch table (metadata columns in front, a column for each cell after them) as ``meta`` and the long ``matrix``.
+
+    Both carry ``batch`` and a ``feature`` id made of the batch and the metadata; cells without a value
+    have no row, and rows alike in all metadata are one feature.
+    """
+    columns = [c for c in table.columns if c not in (batch, key)]
+    meta, cells = columns[:n_metadata], columns[n_metadata:]
+    marked = table.withColumn(key, F.xxhash64(batch, *(F.col(f"`{c}`").cast("string") for c in meta)))
+    numeric = marked.select(batch, key, *(F.col(f"`{c}`").cast("string").try_cast("double").alias(c) for c in cells))
+    long = numeric.unpivot([batch, key], cells, "cell", "value").where("value is not null") if cells else marked.select(batch, key, F.lit("").alias("cell"), F.lit(None).cast("double").alias("value")).limit(0)
+    return {"meta": marked.select(batch, key, *(F.col(f"`{c}`") for c in meta)).dropDuplicates([batch, key]), "matrix": long}
+
+
+def merge_all(tables: DataFrame, groups: DataFrame, n_metadata: int = 8, mz: str = "mz_mean", ppm: float = 10) -> dict[str, DataFrame]:
+    """Batch tables and group files to one study: ``features`` merged over batches, ``matrix`` on them, and ``cells`` with their group's metadata.
+
+    Only cells that a batch's group file lists take part.  Batches go by name.
+    """
+    parts = split_batches(tables, n_metadata)
+    listed = groups.withColumnRenamed("CellNumber", "cell")
+    kept = kept_cells(parts["matrix"], listed)
+    names = sorted(r["batch"] for r in tables.select("batch").distinct().collect())  # a row per batch
+    name = F.coalesce(F.col("metabolite"), F.lit("")) if "metabolite" in parts["meta"].columns else F.lit("")
+    features = parts["meta"].select("batch", "feature", F.col(mz).cast("double").alias("mz"), name.alias("metabolite"))
+    merged = merge_batches(features, kept, listed, names, ppm)
+    island = align(features, ppm).select("batch", "feature", "island")
+    long = kept.join(island, ["batch", "feature"]).groupBy("island", "batch", "cell").agg(F.max("value").alias("value"))
+    cells = listed.withColumn("name", batch_cell(F.col("batch"), F.col("cell")))
+    return {"features": merged, "matrix": long.withColumn("cell", batch_cell(F.col("batch"), F.col("cell"))), "cells": cells}
+
+
 def merge_batches(features: DataFrame, matrix: DataFrame, groups: DataFrame, batches: list[str], ppm: float = 10) -> DataFrame:
     """Features of all batches aligned and merged, over the cells that the group files list."""
     kept = kept_cells(matrix, groups)

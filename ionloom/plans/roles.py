@@ -72,12 +72,12 @@ PEAKS_SQL = "peaks AS (SELECT l_suppkey AS cell, l_extendedprice AS mz, l_quanti
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A price library: the distinct prices of every 97th part."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_partkey") % 97 == 0)
+    """A price library: all distinct prices."""
+    li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_extendedprice").alias("lib_mz")).agg(F.min("l_partkey").alias("lib_pos")).select("lib_mz", "lib_pos", F.concat(F.lit("P"), F.col("lib_pos").cast("string")).alias("metabolite"))
 
 
-LIBRARY_SQL = "lib AS (SELECT l_extendedprice AS lib_mz, min(l_partkey) AS lib_pos, 'P' || min(l_partkey)::VARCHAR AS metabolite FROM lineitem WHERE l_partkey % 97 = 0 GROUP BY 1)"
+LIBRARY_SQL = "lib AS (SELECT l_extendedprice AS lib_mz, min(l_partkey) AS lib_pos, 'P' || min(l_partkey)::VARCHAR AS metabolite FROM lineitem GROUP BY 1)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,12 +306,12 @@ def feature_matrix_long(spark, sf):
 
 @query(
     "library_features",
-    f"""WITH {LIBRARY_FEATURES_SQL} SELECT feature, {fixed_sql("avg(mz)", 3)} AS mz_mean, {fixed_sql("median(mz)", 3)} AS mz_median, count(DISTINCT cell)::BIGINT AS n_cells,
+    f"""WITH {LIBRARY_FEATURES_SQL} SELECT feature, {fixed_sql("avg(mz)", 6)} AS mz_mean, {fixed_sql("median(mz)", 3)} AS mz_median, count(DISTINCT cell)::BIGINT AS n_cells,
         {fixed_sql("count(DISTINCT cell)::DOUBLE / (SELECT count(DISTINCT cell) FROM kept) * 100")} AS hit_rate FROM best GROUP BY 1""",
 )
 def library_features(spark, sf):
     s = _library_features(spark, sf)[1]
-    return s.select("feature", fixed(F.col("mz_mean"), 3).alias("mz_mean"), fixed(F.col("mz_median"), 3).alias("mz_median"), "n_cells", fixed(F.col("hit_rate")).alias("hit_rate"))
+    return s.select("feature", fixed(F.col("mz_mean"), 6).alias("mz_mean"), fixed(F.col("mz_median"), 3).alias("mz_median"), "n_cells", fixed(F.col("hit_rate")).alias("hit_rate"))
 
 
 @query(

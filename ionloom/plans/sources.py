@@ -44,9 +44,15 @@ def stream_sessions(spark, sf):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("stop", F.col("stop").cast("timestamp_ntz"))
 
 
-@query("cell_feature_table", 'WITH o AS (SELECT s_suppkey AS cell, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS r FROM supplier), m AS (SELECT l_suppkey AS cell, l_returnflag AS feature, max(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT feature, max(v) FILTER (r = 1) AS "Cell00001", max(v) FILTER (r = 2) AS "Cell00002" FROM m JOIN o USING (cell) GROUP BY feature')
+@query(
+    "cell_feature_table",
+    """WITH o AS (SELECT s_suppkey AS cell, 'Cell' || lpad((row_number() OVER (ORDER BY s_acctbal, s_suppkey))::VARCHAR, 5, '0') AS name FROM supplier),
+       m AS (SELECT l_suppkey AS cell, l_returnflag AS feature, max(l_quantity) AS v FROM lineitem GROUP BY ALL),
+       p AS (SELECT feature, name, v FROM o LEFT JOIN m USING (cell))
+       SELECT * FROM (PIVOT p ON name USING max(v) GROUP BY feature) WHERE feature IS NOT NULL""",
+)
 def cell_feature_table(spark, sf):
     obs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_acctbal").alias("scan_start_time"))
     matrix = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_returnflag").alias("feature")).agg(F.max("l_quantity").alias("value"))
     var = matrix.select("feature").distinct()
-    return tables.cell_feature_table(matrix, obs, var, cells=["Cell00001", "Cell00002"])
+    return tables.cell_feature_table(matrix, obs, var)

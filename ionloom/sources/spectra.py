@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.signal import optical_peaks
 from .tables import file_name
 
 PEAKS = "array<struct<mz:double,intensity:double>>"
@@ -110,7 +111,9 @@ def read_lif(spark: SparkSession, path: str, prefix: str = "", suffixes: tuple[s
     """
     import re
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    # other names aren't opened; the characters that a pattern gives a meaning stand for themselves
+    starts = re.sub(r"([\[\]{}*?\\])", r"\\\1", prefix)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{starts}*").load(path).select("path", "content")
     name = F.element_at(F.split("path", "/"), -1)
     ends = "|".join(re.escape(s.lower()) for s in suffixes)
     wanted = files.where(name.startswith(prefix) & F.lower(name).rlike(f"({ends})$"))
@@ -122,3 +125,8 @@ def read_lif(spark: SparkSession, path: str, prefix: str = "", suffixes: tuple[s
         F.get(cells, F.lit(0)).try_cast("double").alias("times"),
         F.get(cells, F.lit(1)).try_cast("double").alias("intensity"),
     )
+
+
+def load_optical(spark: SparkSession, path: str, prefix: str = "", k: float = 3, interval: int = 6, **options) -> DataFrame:
+    """Optical peaks of every channel whose file's name starts with ``prefix``; no file gives no rows."""
+    return optical_peaks(read_lif(spark, path, prefix), ["channel"], k, interval, **options)
