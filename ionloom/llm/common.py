@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
+import uuid
 import zlib
 
 import numpy as np
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: a word is a run of anything else.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Spark's setting that removes a query's shuffle files when the query ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,30 +35,55 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, which cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between steps: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) a folder of this process is taken.
+    Only on a single machine a temporary folder stands in for it; a cluster must name a shared one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{context.applicationId}"
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of steps that are settled go now, not when the driver next collects garbage.
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
-    Spark removes a shuffle's files once nothing refers to it, which it finds out by garbage collection.
+    The write is a job of its own: what was shuffled for it isn't needed any more and is removed when
+    it ends (:data:`SHUFFLES_GO`).  The tables of an application lie in one folder named after it.
     """
-    for _ in range(4):  # each round lets go of what the last one held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *settled: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in settled:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def parts_of(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Parts to deal a table's data to: as many as it takes to keep a part's input below ``bytes_each``, and at least the session's shuffle partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(n for n in sizes if n < 1 << 60)  # a table of unknown size says a greater one
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 17, size // bytes_each))
 
 
 def squeeze(*arrays: np.ndarray | bytes) -> bytes:

@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round is a handful of grouped minima and equi-joins over the edges and is written to the
-checkpoint folder; the number of rounds grows with the logarithm of the longest path.  Nothing is
+shared folder, from where the round before goes; the number of rounds grows with the logarithm of the longest path.  Nothing is
 brought to the driver but a count and a checksum.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = settle(edges.where("a <> b").select("a", "b").distinct())
     mark = _mark(edges)
     while mark[0]:
-        edges = settle(_small_star(_large_star(edges)))
+        before, edges = edges, settle(_small_star(_large_star(edges)))
+        discard(edges.sparkSession, before)
         new = _mark(edges)
         if new == mark:
             break

@@ -24,18 +24,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, release, settle, texts
+from .common import SPACE_CLASS, let, settle, texts
 from .quality import SPACES
 
 #: Stands for a null document id in the order of lines: after all others.
 LAST = (1 << 63) - 1
 
 
+#: White space inside a line that isn't a single blank.
+UNEVEN_SPACE = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
+
+
 def _lines(own: DataFrame) -> DataFrame:
-    """A row for each line with a word: its place and the hashes of its words."""
-    rows = own.select("d", "mark", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s"))
-    worded = rows.where(F.btrim("s", F.lit(SPACES)) != "")  # a filter on the hashes would work them out twice
-    return worded.select("d", "mark", "line", _word_hashes(F.col("s")).alias("w"))
+    """A row for each line with a word: its place, and its words in lower case joined by single blanks."""
+    even = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), UNEVEN_SPACE, " ")
+    return own.select("d", "mark", F.posexplode(F.split(even, "\n")).alias("line", "s")).select("d", "mark", "line", F.btrim("s").alias("s")).where("s <> ''")
 
 
 def _word_hashes(line: Column) -> Column:
@@ -48,14 +51,16 @@ def _block(length: Column, k: int, blocks: int) -> tuple[Column, Column]:
     return (F.floor(length * k / blocks).cast("int"), F.floor(length * (k + 1) / blocks).cast("int"))
 
 
-def _block_keys(w: Column, n: Column, fuzzy_words: int, blocks: int) -> list[Column]:
+def _block_keys(s: Column, n: Column, fuzzy_words: int, blocks: int) -> list[Column]:
+    """A hash of the words before and after each block, for the line's length and for one less."""
+    words = lambda count: F.call_function("substring_index", s, F.lit(" "), count)
     keys = []
     for less in (0, 1):
         base = n - less
         for k in range(blocks):
             lo, hi = _block(base, k, blocks)
-            key = F.xxhash64(base, F.lit(k), F.slice(w, F.lit(1), lo), F.slice(w, n - (base - hi) + 1, base - hi))
-            keys.append(F.when(base >= fuzzy_words, key))
+            sides = [words(lo)] * (k > 0) + [words(hi - base)] * (k < blocks - 1)
+            keys.append(F.when(base >= fuzzy_words, F.xxhash64(base, F.lit(k), *sides)))
     return keys
 
 
@@ -90,22 +95,22 @@ def removed_lines(
     own = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("mark"), "text")
     place = F.struct("d", "mark", "line")
     keys = [f"k{t}" for t in range(2 * blocks)]
-    marked = _lines(own).select("d", "mark", "line", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(9), F.col("w")).alias("h2"), *(k.alias(n) for n, k in zip(keys, _block_keys(F.col("w"), F.size("w"), fuzzy_words, blocks))))
-    lines = settle(marked)  # a few hashes for each line, so that the texts are cut up once
+    s = F.col("s")
+    n_words = (F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit(""))) + 1).cast("int")
+    cut = _lines(own).select("d", "mark", "line", "s", n_words.alias("n"))
+    # a few hashes for each line, so that the texts are cut up once
+    lines = settle(cut.select("d", "mark", "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(9), s).alias("h2"), *(k.alias(name) for name, k in zip(keys, _block_keys(s, F.col("n"), fuzzy_words, blocks)))))
     # 1: the first occurrence of each distinct line
     distinct = settle(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"), *(F.min(k).alias(k) for k in keys)))
-    release(docs.sparkSession)
     # 2: lines that share a variant with a block deleted
     coarse = distinct.select("h1", F.posexplode(F.array(*keys)).alias("t", "key")).where("key is not null")
     shared = coarse.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     few = settle(coarse.join(shared, "key").groupBy("h1").agg(F.collect_set("t").alias("ts")))
-    release(docs.sparkSession)
     wanted = distinct.select("h1", "h2", F.col("first").alias("o")).join(few, "h1").groupBy("o.d", "o.mark").agg(F.collect_set(F.struct("o.line", "h1", "h2", "ts")).alias("wanted"))
     met = own.join(wanted, ["d", "mark"]).select("d", "mark", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
     table = settle(
         met.select(F.struct("d", "mark", F.col("x.line").alias("line")).alias("o"), "x.h1", "x.h2", "x.ts", _word_hashes(F.get("all", F.col("x.line"))).alias("w")).dropDuplicates(["o"])
     )
-    release(docs.sparkSession)
     # 3: variants with one word deleted, and the lines themselves (position -1)
     n = F.size("w")
     spots = []
@@ -114,10 +119,10 @@ def removed_lines(
             lo, hi = _block(n - less, k, blocks)
             spots.append(F.when(F.array_contains("ts", less * blocks + k) & (hi + less > lo), F.sequence(lo, hi + less - 1)).otherwise(F.array().cast("array<int>")))
     spot = F.explode(F.array_append(F.array_distinct(F.concat(*spots)), F.lit(-1)))
-    variants = table.select("o", "h1", "w", n.alias("n"), spot.alias("i")).select(
+    variants = table.select("o", "w", n.alias("n"), spot.alias("i")).select(
         "o",
         "i",
-        F.when(F.col("i") < 0, F.col("h1"))
+        F.when(F.col("i") < 0, F.xxhash64("w"))
         .otherwise(F.xxhash64(F.concat(F.slice("w", F.lit(1), F.col("i")), F.slice("w", F.col("i") + 2, F.col("n")))))
         .alias("v"),
     )
@@ -132,7 +137,8 @@ def removed_lines(
     right = table.select(F.col("o").alias("of"), F.col("w").alias("wb"))
     near = pairs.join(left, "o").join(right, "of").where(edit_within_one(F.col("wa"), F.col("wb"))).groupBy("h1", "h2").agg(F.min("of").alias("of"))
     # every occurrence of lines that occur twice or are near an earlier one
-    known = distinct.select("h1", "h2", "first", "c").join(near, ["h1", "h2"], "left").where("c > 1 or of is not null").select("h1", "h2", "first", "of")
+    # (settled, so that the join's sides come straight from a shuffle and a hot line can be split)
+    known = settle(distinct.select("h1", "h2", "first", "c").join(near, ["h1", "h2"], "left").where("c > 1 or of is not null").select("h1", "h2", "first", "of"))
     places = lines.select(place.alias("o"), "h1", "h2")
     gone = places.join(known, ["h1", "h2"]).where("o > first or of is not null")
     exact = F.col("o") > F.col("first")
