@@ -2,20 +2,25 @@
 
 Every text is the first layer of a worklist.  A layer is scanned for secrets; then its URL escapes,
 Unicode escapes, base64 runs and the compressed data inside those are unwrapped, and each result is
-a new layer, until none is left.  A layer that was seen before is not taken again, so a cycle ends.
-Each layer knows where in the text it comes from: escapes map character by character, a base64 or
-compressed run maps as a whole, so what is found in a layer becomes a span of the text.
+a new layer, until none is left.  A layer that was seen before (the same text from the same places)
+is not taken again, so a cycle ends.  Each layer knows where in the text it comes from: escapes map
+character by character, a base64 or compressed run maps as a whole, so what is found in a layer
+becomes a span of the text.
+
+Compressed data are inflated portion by portion, each a layer that begins with the end of the one
+before it, so a small text that holds a huge one needs no more memory than a few portions; nothing of
+it is left out.  The worklist holds one open layer for each depth.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -37,13 +42,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
 #: Base64 over several lines; the last may be short.
-WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)++[A-Za-z0-9+/_-]++={0,2}")
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 LINE = re.compile(r"[^\n]+")
 OPENERS = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor))
-COMPRESSED = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|[\x08\x18\x28\x38\x48\x58\x68\x78](?=..)", re.S)
+#: Headers of zlib data: the first byte names the method and window, both together divide by 31, and no preset dictionary is asked for.
+ZLIB = [re.escape(bytes((first,))) + b"[" + b"".join(re.escape(bytes((x,))) for x in range(256) if (first << 8 | x) % 31 == 0 and not x & 32) + b"]" for first in range(0x08, 0x79, 0x10)]
+COMPRESSED = re.compile(b"|".join([*(re.escape(magic) for magic, _ in OPENERS), *ZLIB]), re.S)
 
 
 def find(text: str) -> list[tuple[int, str, int]]:
@@ -58,74 +65,147 @@ def find(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+#: Bytes of inflated data in a layer, and how many of them the next layer repeats.  A secret or an
+#: encoded run inside inflated data that is longer than the repeated part is seen in pieces.
+PORTION, OVERLAP = 4 << 20, 1 << 18
+
+
 class Layer:
-    """Text that was unwrapped, and for each character the span of the first layer it stands for."""
+    """Text that was unwrapped, and for each character the span of the first layer it stands for.
+
+    ``starts`` and ``ends`` are two lists, two numbers where all characters stand for one span, or None
+    in the first layer.
+    """
 
     __slots__ = ("text", "starts", "ends")
 
-    def __init__(self, text: str, starts: list[int] | None, ends: list[int] | None):
+    def __init__(self, text: str, starts: list[int] | int | None, ends: list[int] | int | None):
         self.text, self.starts, self.ends = text, starts, ends
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
             return start, end
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
         return self.starts[start], self.ends[end - 1]
 
+    def mark(self) -> bytes:
+        """A digest of the text and of all the places it comes from."""
+        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for places in (self.starts, self.ends):
+            digest.update(b"|" + (str(places).encode() if isinstance(places, int) else array("q", places).tobytes()))
+        return digest.digest()
 
-def _inflate(raw: memoryview) -> tuple[bytes, int] | None:
-    """What the compressed data at the start of ``raw`` holds, and how many bytes that takes."""
+
+def _members(raw: memoryview) -> Iterator[tuple[bytes, int]]:
+    """What the compressed data at the start of ``raw`` holds, in portions; (b"", n) says that a member ended after n bytes."""
     for magic, make in OPENERS:
         if bytes(raw[: len(magic)]) == magic:
             break
     else:
         if len(raw) < 3 or raw[0] & 15 != 8 or (raw[0] << 8 | raw[1]) % 31:
-            return None
+            return
         magic, make = b"", zlib.decompressobj
-    out, at = [], 0
+    at: int | None = 0
     while True:  # gzip, bzip2 and xz may have several members
-        member = make()
+        at = yield from _portions(make(), raw[at:], at)
+        if at is None:
+            return
+        yield b"", at
+        if not magic or bytes(raw[at : at + len(magic)]) != magic:
+            return
+
+
+def _portions(member, raw: memoryview, base: int) -> Iterator[tuple[bytes, int]]:
+    """One member's portions; returns where it ends, or None if it is broken."""
+    rest: bytes | memoryview = raw
+    while True:
         try:
-            part = member.decompress(raw[at:])
+            part = member.decompress(rest, PORTION)
         except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-            break
-        if not member.eof:
-            break
-        out.append(part)
-        at = len(raw) - len(member.unused_data)
-        if not magic or bytes(raw[at : at + len(magic)]) != magic:
-            break
-    return (b"".join(out), at) if out else None
+            return None
+        if part:
+            yield part, base
+        if member.eof:
+            return base + len(raw) - len(member.unused_data)
+        rest = getattr(member, "unconsumed_tail", b"")
+        if not part and (not rest and getattr(member, "needs_input", True)):
+            return None
 
 
-def _text(raw: bytes) -> str:
-    """Decoded data as text; what is no UTF-8 counts byte by byte."""
+def _layers_of(raw: bytes) -> Iterator[str]:
+    """The texts that bytes may stand for: UTF-8, else byte by byte; and UTF-16 where every second byte is mostly zero."""
     try:
-        return raw.decode("utf-8")
+        yield raw.decode("utf-8")
     except UnicodeDecodeError:
-        return raw.decode("latin-1")
+        yield raw.decode("latin-1")
+    if raw.count(0) * 4 > len(raw):
+        for name, zeros in (("utf-16-le", raw[1::2]), ("utf-16-be", raw[::2])):
+            if zeros.count(0) * 2 > len(zeros):
+                yield raw[: len(raw) // 2 * 2].decode(name, "replace")
+
+
+def _windows(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """Portions as pieces of bounded size, each of which repeats the end of the one before."""
+    held, fresh = b"", False
+    for part in parts:
+        held, fresh = held + part, True
+        while len(held) >= PORTION:
+            yield held[:PORTION]
+            held, fresh = held[PORTION - OVERLAP :], len(held) > PORTION
+    if fresh:
+        yield held
 
 
 def _inflated(raw: bytes, span) -> Iterator[Layer]:
-    """Layers of the compressed data anywhere in ``raw``; ``span(i, j)`` is where its bytes come from."""
+    """Layers of the compressed data anywhere in ``raw``; ``span(i, j)`` is where its bytes come from.
+
+    The data are read twice, first for where they end.  Data that are broken off count as far as they
+    go, from one portion on; below that they are taken for something else.
+    """
     at = 0
     while (m := COMPRESSED.search(raw, at)) is not None:
-        found = _inflate(memoryview(raw)[m.start() :])
-        if found is None:
-            at = m.start() + 1
+        at = m.start() + 1
+        view, size, last = memoryview(raw)[m.start() :], 0, None
+        for part, read in _members(view):
+            size += len(part)
+            last = last if part else read
+        if last is None and size < PORTION:
             continue
-        at = m.start() + found[1]
-        a, b = span(m.start(), at)
-        yield from _opened(found[0], a, b)
+        end = len(raw) if last is None else m.start() + last
+        for held in _windows(part for part, _ in _members(view) if part):
+            yield from _opened(held, *span(m.start(), end))
+        at = max(at, end)
 
 
 def _opened(raw: bytes, a: int, b: int) -> Iterator[Layer]:
-    """Unwrapped bytes as a layer, and the compressed data in them."""
-    if raw:
-        text = _text(raw)
-        yield Layer(text, [a] * len(text), [b] * len(text))
+    """Unwrapped bytes as layers, and the compressed data in them."""
+    if len(raw) >= 16:  # less holds no secret, and no compressed one
+        for text in _layers_of(raw):
+            yield Layer(text, a, b)
         yield from _inflated(raw, lambda i, j: (a, b))
 
 
+def _headless(raw: bytes, a: int, b: int) -> Iterator[Layer]:
+    """Layers of bytes that are one whole deflate stream without a header."""
+
+    def parts() -> Iterator[bytes]:
+        member, rest = zlib.decompressobj(-15), raw
+        while not member.eof and (part := member.decompress(rest, PORTION)):
+            rest = member.unconsumed_tail
+            yield part
+        if not member.eof or member.unused_data:
+            raise zlib.error("not a whole stream")
+
+    try:
+        size = sum(map(len, parts()))
+    except zlib.error:
+        return
+    if size >= 16:  # less holds no secret
+        for held in _windows(parts()):
+            yield from _opened(held, a, b)
+
+
 def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
     """Each line that holds escapes, with the escapes replaced."""
     for line in LINE.finditer(layer.text):
@@ -199,22 +279,32 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         return
     for m in WRAPPED.finditer(layer.text):
         lines = list(BASE64_LINE.finditer(layer.text, m.start(), m.end()))
-        width = None
-        for k, line in enumerate(lines[:-1]):
-            # a line of another width than the one before may be where the data starts
-            if len(line[0]) != width:
-                yield from _decoded("".join(x[0] for x in lines[k:]), *layer.span(line.start(), m.end()))
-            width = len(line[0])
+        width = [len(x[0]) for x in lines]
+        at = 0
+        while at < len(lines):  # lines of one width, a shorter last one, and perhaps a first one that stands after other text
+            stop = at + 1
+            while stop < len(lines) and width[stop] == width[at]:
+                stop += 1
+            end = stop + (stop < len(lines) and width[stop] < width[at])
+            for first in {max(at - 1, 0), at}:
+                if end - first > 1:
+                    yield from _decoded("".join(x[0] for x in lines[first:end]), *layer.span(lines[first].start(), lines[end - 1].end()))
+            at = stop
 
 
 def _decoded(run: str, a: int, b: int) -> Iterator[Layer]:
-    run = run.rstrip("=")
-    run = run[: len(run) - (len(run) % 4 == 1)]
-    try:
-        raw = base64.b64decode(run.translate(_URLSAFE) + "=" * (-len(run) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    yield from _opened(raw, a, b)
+    """A run decoded from each of four starts, as other characters of the alphabet (a path's, say) may stand before the data."""
+    run = run.rstrip("=").translate(_URLSAFE)
+    for skip in range(4):
+        own = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
+        if len(own) < 4:
+            return
+        try:
+            raw = binascii.a2b_base64(own + "=" * (-len(own) % 4))
+        except (binascii.Error, ValueError):
+            continue
+        yield from _opened(raw, a, b)
+        yield from _headless(raw, a, b)
 
 
 _URLSAFE = str.maketrans("-_", "+/")
@@ -236,17 +326,20 @@ def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, in
     base = sorted(find(text), key=key)
     every = set(base)
     seen = set()
-    work = list(unwrap(Layer(text, None, None)))
+    work = [unwrap(Layer(text, None, None))]
     while work:
-        layer = work.pop()
-        mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass") + str((layer.starts[:1], layer.ends[-1:])).encode(), digest_size=16).digest()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        mark = layer.mark()
         if mark in seen:
             continue
         seen.add(mark)
         for start, kind, end in find(layer.text):
             a, b = layer.span(start, end)
             every.add((a, kind, b))
-        work += unwrap(layer)
+        work.append(unwrap(layer))
     return base, sorted(every, key=key)
 
 
@@ -275,7 +368,9 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start, then kind, comma-joined;
     a span found in several layers is given once.  A null or empty text has no spans (empty
-    strings); a null id stays null; repeated rows are scanned each for itself; an empty table gives
-    no rows; other columns are not read.
+    strings); a null id stays null; repeated rows are scanned each for itself; spans of one start and
+    kind (ties) stand by their end; a text of any length is scanned whole, in time and memory in
+    proportion to it and to what it unwraps to; an empty table gives no rows; other columns are not
+    read.
     """
     return texts(docs, id_col, text_col).mapInArrow(_scan_batches, "doc_id long, base string, spans string, n_assign long, n_access long, n_hex long")
