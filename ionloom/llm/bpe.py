@@ -30,6 +30,9 @@ from .common import texts
 
 #: Characters read at a time from a long text.
 READ = 1 << 14
+#: Blocks of old and settled characters, for which this Python's tables and the tokenizer library's are
+#: alike; pre-tokens of anything else are cut by the library itself, whose tables may be newer or older.
+SETTLED = r"[\x00-\u024f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u2010-\u2027\u2030-\u203a\u20ac\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]*"
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
@@ -138,6 +141,10 @@ class Codec:
     def __init__(self, path: str, memo_limit: int = 400_000):
         import regex
 
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.settled = regex.compile(SETTLED)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -189,10 +196,19 @@ class Codec:
         text = self.normalize(text)
         return [text] if text.isalpha() and self.drops_space else self.cut.findall(text)
 
+    def spelled(self, text: str) -> Iterator[str]:
+        """The pre-tokens in symbols of the byte alphabet."""
+        if self.settled.fullmatch(text):
+            for word in self.words(text):
+                yield "".join([self.alphabet[b] for b in word.encode("utf-8")])
+        else:
+            even = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+            for symbols, _ in self.library.pre_tokenizer.pre_tokenize_str(even):
+                yield symbols
+
     def encode_stretch(self, text: str) -> Iterator[list[int]]:
         """Ids of text without special strings, a list for each stable stretch."""
-        for word in self.words(text):
-            symbols = "".join([self.alphabet[b] for b in word.encode("utf-8")])
+        for symbols in self.spelled(text):
             yield from self.transducer.stream(symbols[i : i + READ] for i in range(0, len(symbols), READ))
 
     def encode_chunk(self, chunk: str) -> Iterator[list[int]]:
@@ -203,9 +219,17 @@ class Codec:
             at = m.end()
         yield from self.encode_stretch(chunk[at:])
 
-    def chunks(self, text: str) -> list[str]:
-        """Pieces of a text that are encoded independently: words never hold white space."""
-        return text.split(" ") if self.drops_space else [text]
+    def chunks(self, text: str) -> Iterator[str]:
+        """Pieces of a text that are encoded independently, as words never hold white space; cut portion by portion."""
+        if not self.drops_space:
+            yield text
+            return
+        at = 0
+        while at < len(text):
+            stop = text.find(" ", at + READ)
+            stop = len(text) if stop < 0 else stop
+            yield from text[at:stop].split(" ")
+            at = stop + 1
 
     def round_trip(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """The text's ids (little-endian, 32 bits) and decoded bytes, portion by portion."""
@@ -227,7 +251,7 @@ class Codec:
 
     def short_chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """Ids and decoded bytes of a chunk, with a memo of its words."""
-        if self.special.search(chunk):
+        if self.special.search(chunk) or not self.settled.fullmatch(chunk):
             ids = [i for part in self.encode_chunk(chunk) for i in part]
             return np.array(ids, "<u4").tobytes(), Decoder(self).feed(ids)
         memo, got = self.word_memo, []
@@ -303,7 +327,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
     """``doc_id``, token ``ids`` and the text ``decoded`` from them, for each document.
 
     A null or empty text has no ids and decodes to the empty text; a null id stays null; repeated
-    rows are encoded each for itself; an empty table gives no rows; other columns are not read.
+    rows are encoded each for itself; pairs of equal rank merge from the left; a text of any length is
+    encoded whole, portion by portion; an empty table gives no rows; other columns are not read.
     """
 
     def make(codec: Codec, text: str):
