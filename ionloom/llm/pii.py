@@ -3,12 +3,16 @@
 The base kinds are exact patterns.  Beyond them, generators of high recall propose spans
 (obfuscated addresses, any grouping of digits, account numbers, long internet addresses); each
 candidate gets format and context features, boosted trees score it, and a threshold calibrated on
-held-out examples selects what is added.  Candidates may overlap one another, but not base spans.
+held-out examples selects what is added.  Candidates may overlap one another, and lie outside base spans.
 
 Everything on the way from a text to its spans or its redacted form is an expression over one row:
 no shuffle, no Python on executors.  The trees are fitted on the driver from :data:`EXAMPLES`
 generated examples (a fixed, bounded sample, made from templates), whose features come from the same
 expressions; they are then an expression themselves.
+
+Running sums over a text's matches are taken in blocks (:func:`scan`), and candidates are looked for
+in the text with its base spans covered, so that a text's cost is in proportion to its length and its
+matches.
 """
 
 from __future__ import annotations
@@ -36,9 +40,9 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 #: Generators of candidates.
 GENERATORS = {
-    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\{at\}|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]{1,63}){1,6}",
-    "digits": r"(?<![0-9A-Za-z.])[+(]?[0-9](?:[\x20().\-/_]{0,2}[0-9]){5,30}(?![0-9A-Za-z])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "address": r"(?<![A-Za-z0-9._%+\-\ue000])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\{at\}|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]{1,63}){1,6}",
+    "digits": r"(?<![0-9A-Za-z.\ue000])[+(]?[0-9](?:[\x20().\-/_]{0,2}[0-9]){5,30}(?![0-9A-Za-z\ue000])",
+    "iban": r"(?<![A-Za-z0-9\ue000])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "long_ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])",
 }
 GATES = {"address": r"\[at\]|\(at\)|\{at\}|@", "digits": r"[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "long_ip": r"[0-9A-Fa-f]:"}
@@ -50,10 +54,35 @@ CONTEXT = {
     "says_mail": r"(?i)\b(?:mail|e-mail|email|contact|write|reach)\b",
     "says_other": r"(?i)\b(?:order|invoice|version|isbn|issn|price|page|ref|item|total|sku|build|id|no|vol|pp|date|year|chapter|serial|eur|usd)\b",
 }
-SPAN = "array<struct<start:int,stop:int,s:string,before:string,after:string>>"
+ONE = "struct<start:int,stop:int,s:string,before:string,after:string>"
+SPAN = f"array<{ONE}>"
 EXAMPLES = 4000
 
 
+#: Steps of a scan that share one growing array: appending copies it, so it is kept short.
+STEPS = 128
+
+
+def scan(n: Column, first: Column, kind: str, step) -> Column:
+    """Items of a running state over 0 .. n - 1 (n at least 1), in time in proportion to n.
+
+    ``step(state, k)`` gives struct(state, item: an array of ``kind``); the items of all steps are one
+    array.  Steps are taken in blocks, whose items are joined at the end.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def inner(state: Column, block: Column) -> Column:
+        ks = F.sequence(block * STEPS, F.least(n, (block + 1) * STEPS) - 1)
+        add = lambda acc, k: let(step(acc["state"], k), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], x["item"]).alias("out")))
+        return F.aggregate(ks, F.struct(state.alias("state"), empty.alias("out")), add)
+
+    def outer(acc: Column, block: Column) -> Column:
+        return let(inner(acc["state"], block), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / STEPS).cast("int"))
+    return F.aggregate(blocks, F.struct(first.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), outer, lambda acc: F.flatten(acc["out"]))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Matches with their places in code points and what stands around them.
 
@@ -62,23 +91,47 @@ def spans(text: Column, pattern: str) -> Column:
     """
 
     def place(z: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-        def step(acc: Column, k: Column) -> Column:
+        def step(at: Column, k: Column) -> Column:
             gap, s = F.get(z["g"], k), F.get(z["m"], k)
-            start = acc["at"] + F.char_length(gap)
+            start = at + F.char_length(gap)
             stop = start + F.char_length(s)
             after = F.get(z["g"], k + 1)
             one = F.struct(
                 start.alias("start"), stop.alias("stop"), s.alias("s"), F.right(gap, F.lit(40)).alias("before"), F.left(after, F.lit(4)).alias("after")
             )
-            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+            return F.struct(stop.alias("state"), F.array(one).alias("item"))
 
-        return F.when(F.size(z["m"]) == 0, F.array().cast(SPAN)).otherwise(
-            F.aggregate(F.sequence(F.lit(0), F.size(z["m"]) - 1), zero, step, lambda acc: acc["out"])
-        )
+        return F.when(F.size(z["m"]) == 0, F.array().cast(SPAN)).otherwise(scan(F.size(z["m"]), F.lit(0), ONE, step))
+
+    return let(_cut(text, pattern), place)
+
+
+def _cut(text: Column, pattern: str) -> Column:
+    """struct(m: matches, g: the texts around them)."""
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")), place)
+
+#: Stands for each character that a base span covers (a private-use character).
+COVER = "\ue000"
+
+
+def covered(text: Column, found: Column) -> Column:
+    """``text`` with the base spans covered, where there are any: the patterns run again, each on what the ones before it left."""
+
+    def cover(t: Column, kind: str) -> Column:
+        def join(z: Column) -> Column:
+            parts = F.transform(F.sequence(F.lit(0), F.size(z["m"])), lambda k: F.concat(F.get(z["g"], k), let(F.coalesce(F.get(z["m"], k), F.lit("")), lambda m: F.when(_passes(kind, m), F.repeat(F.lit(COVER), F.char_length(m))).otherwise(m))))
+            return F.array_join(parts, "")
+
+        return let(_cut(t, BASE[kind]), join)
+
+    def unless_none(kind: str):
+        return lambda t: F.when(F.exists(found, lambda x: x["kind"] == kind), cover(t, kind)).otherwise(t)
+
+    out = text
+    for kind in BASE:
+        out = let(out, unless_none(kind))
+    return F.when(F.size(found) == 0, text).otherwise(out)
 
 
 def _digits(s: Column) -> Column:
@@ -104,8 +157,9 @@ def _named(found: Column, kind: str) -> Column:
 
 
 def _described(found: Column, generator: int) -> Column:
+    whole = F.transform(found, lambda x: F.struct(x["start"], x["stop"], x["s"], x["before"], x["after"], _digits(x["s"]).alias("d")))
     return F.transform(
-        found, lambda x: F.struct(x["start"], x["stop"], x["s"], F.array(*(f.cast("double") for f in features(x, generator))).alias("x"))
+        whole, lambda x: F.struct(x["start"], x["stop"], x["s"], F.array(*(f.cast("double") for f in features(x, generator))).alias("x"))
     )
 
 
@@ -113,19 +167,23 @@ def _n_of(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def _passes(kind: str, s: Column) -> Column:
+    """The checks on a match of a base pattern; an empty one fails."""
+    return {
+        "email": lambda: s != "",
+        "ip": lambda: s.rlike(OCTETS),
+        "card": lambda: let(_digits(s), lambda d: F.char_length(d).between(14, 19) & luhn(d)),
+        "phone": lambda: F.char_length(_digits(s)).between(10, 15),
+    }[kind]()
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """For each base kind, its spans after the checks on digits."""
     none = F.array().cast(SPAN)
-    keeps = {
-        "email": lambda s: F.lit(True),
-        "ip": lambda s: s.rlike(OCTETS),
-        "card": lambda s: F.char_length(_digits(s)).between(14, 19) & luhn(_digits(s)),
-        "phone": lambda s: F.char_length(_digits(s)).between(10, 15),
-    }
     out = {}
     for kind, pattern in BASE.items():
         gate = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9]")
-        out[kind] = F.when(gate, _filter(spans(text, pattern), keeps[kind])).otherwise(none)
+        out[kind] = F.when(gate, _filter(spans(text, pattern), lambda s, kind=kind: _passes(kind, s))).otherwise(none)
     return out
 
 
@@ -140,7 +198,7 @@ def features(x: Column, generator: int) -> list[Column]:
     s, before, after = x["s"], x["before"], x["after"]
     n = lambda pattern: (F.char_length(s) - F.char_length(F.regexp_replace(s, pattern, ""))).cast("int")
     flag = lambda c: c.cast("int")
-    digits = _digits(s)
+    digits = x["d"]
     return [
         F.lit(generator),
         F.char_length(digits),
@@ -358,13 +416,12 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mor
     )
     own = base_spans(F.col("_text"))
     named = [_named(v, k) for k, v in own.items()]
-    step = step.select("*", F.array_sort(F.concat(*named)).alias("base"), candidates(F.col("_text")).alias("proposed"))
-    chosen = F.filter(
-        "proposed",
-        lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (b["stop"] > c["start"])) & (trees.expression(c["x"]) >= F.lit(trees.threshold)),
-    )
+    step = step.select("*", F.array_sort(F.concat(*named)).alias("base"))
+    # candidates are looked for where no base span lies
+    chosen = F.filter(candidates(covered(F.col("_text"), F.col("base"))), lambda c: trees.expression(c["x"]) >= F.lit(trees.threshold))
     added = F.transform(chosen, lambda c: F.struct(c["start"], _order(_kind(c)).alias("rank"), c["stop"], _kind(c).alias("kind")))
-    return step.select("_id", "_text", "_more", "base", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))
+    once = lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
+    return step.select("_id", "_text", "_more", "base", let(F.array_sort(F.concat("base", added)), once).alias("spans"))
 
 
 def spell(found: Column) -> Column:
@@ -373,19 +430,26 @@ def spell(found: Column) -> Column:
 
 
 def redact_text(text: Column, found: Column) -> Column:
-    """``text`` with each span replaced by its kind in angle brackets; overlapping spans become one."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """``text`` with each span replaced by its kind in angle brackets; overlapping spans become one.
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.array(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["parts"], piece)).otherwise(acc["parts"]).alias("parts"))
+    Where spans are many, pieces are taken from the text's characters, since finding a place in a
+    string takes as long as the place is far.
+    """
 
-    rebuilt = let(
-        F.aggregate(found, zero, step),
-        lambda z: F.concat(F.array_join(z["parts"], ""), F.substring(text, z["at"] + 1, F.char_length(text))),
-    )
-    return F.when(F.size(found) == 0, text).otherwise(rebuilt)
+    def rebuilt(piece) -> Column:
+        def step(at: Column, k: Column) -> Column:
+            s = F.get(found, k)
+            before = F.when(s["start"] > at, piece(at, s["start"] - at)).otherwise(F.lit(""))
+            item = F.when(s["start"] >= at, F.array(before, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).otherwise(F.array().cast("array<string>"))
+            # the end of the last span is followed by the rest of the text
+            last = F.when(k == F.size(found) - 1, F.array(piece(F.greatest(at, s["stop"]), F.lit(1 << 30)))).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.greatest(at, s["stop"]).alias("state"), F.concat(item, last).alias("item"))
+
+        return F.array_join(scan(F.size(found), F.lit(0), "string", step), "")
+
+    by_place = rebuilt(lambda at, n: F.substring(text, at + 1, n))
+    by_character = let(F.split(text, ""), lambda chars: rebuilt(lambda at, n: F.array_join(F.slice(chars, at + 1, n), "")))
+    return F.when(F.size(found) == 0, text).when(F.size(found) <= STEPS, by_place).otherwise(by_character)
 
 
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
