@@ -1,7 +1,8 @@
 """Nearest neighbours by vantage-point trees, one for each shard of the vectors.
 
-Every vector is dealt to a shard at random (so repeated rows spread) and indexed there: a tree splits its vectors at the median distance
-from a vantage point until at most ``leaf`` remain.  The queries meet each shard in sets of bounded size, and there in blocks.  A block
+Every vector is dealt to a shard by a hash of its id and values and indexed there: a tree splits its
+vectors at the median distance from a vantage point until at most ``leaf`` remain.  A shard is one
+task: its tree is built once, and all queries are streamed past it in blocks.  A block
 descends the tree together: a subtree is entered only by those queries for which the triangle
 inequality, relaxed by ``slack``, can't rule out a vector nearer than the tenth found so far.  With
 ``slack`` 1 the search is exact; above 1, subtrees are passed over sooner.
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,20 +104,68 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
-def _search_shard(k: int, leaf: int, slack: float, block: int):
-    def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
-        if not shard.num_rows or not queries.num_rows:
-            return _OUT.empty_table()
-        names = shard.column("vec_id").to_numpy()
-        tree = VantageTree(_matrix(shard.column("v")), leaf)
-        out = []
-        for lo in range(0, queries.num_rows, block):
-            part = queries.slice(lo, block)
-            own = part.column("vec_id").to_numpy()
-            best, found = tree.search(_matrix(part.column("v")), own, names, k, slack)
-            at, col = np.nonzero(found >= 0)
-            out.append(pa.table([pa.array(own[at]), pa.array(names[found[at, col]]), pa.array(best[at, col])], schema=_OUT))
-        return pa.concat_tables(out)
+def _collapse(k: int):
+    """Of rows alike in id and vector, ``k`` in a batch: more of them can't be among the ``k`` nearest, and a row that is repeated without end meets no single task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            _, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
+            keep = np.ones(len(names), bool)
+            seen: dict[tuple, int] = {}
+            for i in np.flatnonzero(counts[inverse] > k).tolist():
+                row = (int(names[i]), batch.column(1)[i].values.to_numpy().tobytes())
+                seen[row] = seen.get(row, 0) + 1
+                keep[i] = seen[row] <= k
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    return run
+
+
+def _plant(held: list[pa.RecordBatch], leaf: int) -> dict[int, tuple[np.ndarray, VantageTree]]:
+    """For each length of vectors, their names and their tree."""
+    if not held:
+        return {}
+    shard = pa.Table.from_batches(held).combine_chunks()
+    sizes = pc.list_value_length(shard.column("v")).to_numpy()
+    out = {}
+    for n in np.unique(sizes).tolist():
+        own = shard.filter(pa.array(sizes == n))
+        out[n] = (own.column("vec_id").to_numpy(), VantageTree(_matrix(own.column("v")), leaf))
+    return out
+
+
+def _search_shards(k: int, leaf: int, slack: float, block: int):
+    """Rows come sorted by shard, its vectors before the queries: (shard, asks, vec_id, v)."""
+
+    def answer(trees: dict, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes = pc.list_value_length(queries.column("v")).to_numpy(zero_copy_only=False)
+        for n, (names, tree) in trees.items():
+            fits = queries.filter(pa.array(sizes == n))
+            for lo in range(0, fits.num_rows, block):
+                part = fits.slice(lo, block)
+                own = part.column("vec_id").to_numpy()
+                best, found = tree.search(_matrix(part.column("v")), own, names, k, slack)
+                at, col = np.nonzero(found >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(names[found[at, col]]), pa.array(best[at, col])], schema=_OUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, trees = None, [], None
+        for batch in batches:
+            place = batch.column("shard").to_numpy() * 2 + batch.column("asks").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(place)) + 1, len(place)]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if place[lo] >> 1 != shard:
+                    shard, held, trees = place[lo] >> 1, [], None
+                if place[lo] % 2 == 0:
+                    held.append(part)
+                    continue
+                if trees is None:
+                    trees, held = _plant(held, leaf), []
+                yield from answer(trees, part)
 
     return run
 
@@ -134,29 +184,28 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 10,
-    shard_rows: int = 8192,
+    shard_rows: int = 1 << 15,
     leaf: int = 64,
     slack: float = 1.0,
     block: int = 256,
-    query_rows: int = 16384,
-    seed: int = 3,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` (Euclidean distance): the ``k`` nearest of each query.
 
     A candidate with the query's own id is left out; ties go to the smaller id; with fewer
     candidates all are given.  Rows with a null id, and vectors that are null, empty, zero or hold
-    null or non-finite components, take no part, neither as queries nor as candidates.  Repeated
-    candidate rows each count; repeated query rows ask once.  All vectors must have one length.
-    Other columns are not read.  An empty table gives no rows.
+    null or non-finite components, take no part, neither as queries nor as candidates.  Vectors of
+    another length than the query's are no candidates of it.  Repeated candidate rows each count;
+    repeated query rows ask once.  Vectors of any length are compared whole.  Other columns are not
+    read.  An empty table gives no rows.  The number of shards comes from a count, which runs at once;
+    ``shard_rows`` bounds what a task holds, and all queries go to each shard.
     """
     points = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
-    # a task holds one shard and one set of queries, both of bounded size
     shards = max(1, -(-points.count() // shard_rows))
-    sets = max(1, -(-asked.count() // query_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = points.withColumn("shard", F.floor(F.rand(seed) * shards).cast("int")).withColumn("part", every(sets))
-    sent = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(sets)).cast("int")).withColumn("shard", every(shards))
-    found = dealt.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(_search_shard(k, leaf, slack, block), "query_id long, vec_id long, score double")
+    points = points.mapInArrow(_collapse(k), "vec_id long, v array<double>")
+    dealt = points.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "vec_id", "v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "v")
+    met = dealt.unionByName(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", "asks")
+    found = met.mapInArrow(_search_shards(k, leaf, slack, block), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
