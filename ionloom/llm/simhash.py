@@ -5,9 +5,10 @@ each in at most half of that.  So every distinct fingerprint stands for the ball
 within half the radius, variants are dealt by value, and fingerprints that meet on one are linked.
 
 A ball has 2,081 variants at radius 4, so they are not written out before the shuffle: the first
-``BUCKET_BITS`` bits of a variant are its bucket, a fingerprint is sent once to each bucket its
-ball touches (56 of 1,024) with the flips that are left, and the variants inside a bucket are
-listed there.  A bucket whose variants exceed ``LIST`` is split on its next bits.  Copies collapse
+bits of a variant are its bucket, a fingerprint is sent once to each bucket its ball touches (56 of
+1,024 at 10 bits, 211 of a million at 20) with the flips that are left, and the variants inside a
+bucket are listed there.  The number of bits grows with the number of fingerprints, so that a bucket
+holds at most about :data:`BUCKET` of them.  A bucket whose variants exceed ``LIST`` is split on its next bits.  Copies collapse
 to one fingerprint beforehand, and within a bucket the links of a set are cut to a spanning forest,
 so a large group of copies never becomes pairs.
 """
@@ -16,17 +17,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle, texts
+from .common import settle, texts
 from .components import components
 
 BITS = 64
-BUCKET_BITS = 10
+#: Fingerprints that a bucket holds on average at most, and the fewest bits of a bucket.
+BUCKET, LEAST_BITS = 500_000, 10
 #: Variants listed at a time.
 LIST = 4_000_000
 
@@ -196,10 +199,26 @@ def _meet_buckets(radius: int, bucket_bits: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 4, bucket_bits: int = BUCKET_BITS) -> DataFrame:
-    """``a``, ``b``: links between distinct fingerprints ``fp`` that span each set within reach."""
-    half = (radius + 1) // 2
-    parts = max(8, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def bucket_bits_for(n: int, half: int) -> int:
+    """Bits of a bucket for ``n`` fingerprints, of which each goes to all buckets within ``half`` flips."""
+    bits = LEAST_BITS
+    while bits < 32 and n * sum(comb(bits, k) for k in range(half + 1)) > BUCKET << bits:
+        bits += 1
+    return bits
+
+
+def near_links(fps: DataFrame, radius: int = 4, bucket_bits: int | None = None) -> DataFrame:
+    """``a``, ``b``: links between distinct fingerprints ``fp`` that span each set within reach.
+
+    ``radius`` must be even: then any two that share a variant are within it, so neighbours in the
+    variant's list stand for all of them.  The fingerprints are counted at once.
+    """
+    if radius % 2:
+        raise ValueError("the radius must be even")
+    half, n = radius // 2, fps.count()
+    bucket_bits = bucket_bits or bucket_bits_for(n, half)
+    sent_bytes = 8 * n * sum(comb(bucket_bits, k) for k in range(half + 1))
+    parts = max(8, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << bucket_bits, sent_bytes >> 26))
     sent = fps.select("fp").mapInArrow(_send(half, bucket_bits), "bucket long, left int, fps binary")
     dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_meet_buckets(radius, bucket_bits), "a long, b long")
@@ -223,14 +242,12 @@ def near_duplicates(
     links = near_links(nodes, radius)
     if rounds > 1:  # documents are told apart by their first fingerprint
         links = settle(links)
-        release(docs.sparkSession)
         also = settle(fps.select("fp", F.posexplode("more").alias("r", "g")).distinct())
         stands = settle(also.groupBy("r", "g").agg(F.min("fp").alias("b")))
         links = links.union(also.join(stands, ["r", "g"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
         for r in range(rounds - 1):
             own = stands.where(F.col("r") == r).select("g", "b")
             near = settle(near_links(own.select(F.col("g").alias("fp")), radius))
-            release(docs.sparkSession)  # a round's shuffle goes before the next one's comes
             one = near.join(own.select(F.col("g").alias("a"), F.col("b").alias("x")), "a").join(own.select(F.col("g").alias("b"), F.col("b").alias("y")), "b")
             links = links.union(one.select(F.col("x").alias("a"), F.col("y").alias("b")))
     tree = components(links)
