@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 
 from .chunks import BYTE_LEVEL_PATTERN, ByteLevelEncoder, split_batch
 from .common import squeeze as _squeeze
-from .common import texts
+from .common import parts_of, texts
 from .common import unsqueeze as _unsqueeze
 
+#: Distinct pre-tokens whose pieces a task remembers; a part has fewer, as parts grow in number with the input.
+MOST_PIECES = 2_000_000
+
 _ROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
 
 
@@ -141,6 +144,8 @@ def _count(path: str):
                         at += size
                         n = n_pieces.get(p)
                         if n is None:
+                            if len(n_pieces) >= MOST_PIECES:
+                                n_pieces.clear()
                             n = n_pieces[p] = len(encoder.encode(p.decode("utf-8", "surrogatepass")))
                         counts.append(n)
                     weight = np.repeat(np.array(counts, np.int64), np.frombuffer(lists, "<i4"))
@@ -196,11 +201,11 @@ def token_counts(
     strings that the tokenizer takes as one special token wherever they stand.  ``block_docs`` and
     ``block_bytes`` bound a block's memory, not what is counted.
     """
-    spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_of(docs)
     row = "block long, part int, payload binary"
     lists = texts(docs, id_col, text_col).mapInArrow(_blocks(list(specials), parts, block_docs, block_bytes), row)
-    sums = lists.repartition(parts, F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part"))).mapInArrow(_count(tokenizer_path), row)
+    home = F.when(F.col("part") < 0, F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
+    sums = lists.repartitionById(parts, home).mapInArrow(_count(tokenizer_path), row)
     met = sums.repartition(parts, "block").sortWithinPartitions("block", "part")
     counts = met.mapInArrow(_total, "doc_id long, n_bytes long, n_tokens long")
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)
