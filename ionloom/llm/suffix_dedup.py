@@ -6,13 +6,18 @@ more anywhere in the corpus.
 * Suffixes are retained only at content-selected positions: the minimiser of each ``window``
   neighbouring word grams.  A repeated passage selects the same positions in each of its copies, and
   the first of them leaves at least ``min_words - window + 1`` of its words to the right.
-* Retained suffixes are ordered by the hash of those words; equal neighbours in this order are the
-  candidates.  As only equality matters, the order is made by hashing and grouping, where copies
-  combine before the shuffle, so a passage that a third of all documents hold is no hot task.
-* Matches are extended left and right: around each candidate every stretch of ``min_words`` words that
-  holds it is compared with the others in the same way, and neighbouring stretches that match are
-  joined, which gives the passages to the word.  Stretches travel in blocks of documents, each hash
-  once for a block, as packed columns; what comes back to a block is two bits for each hash.
+* Retained suffixes go by the digest of those words, where copies combine before the shuffle; those
+  with an equal neighbour are the candidates.
+* Candidates are extended left and right: every stretch of ``min_words`` words that holds one is
+  sorted among all others by a digest of 128 bits and compared with its neighbours, and neighbouring
+  stretches that match are joined, which gives the passages to the word.  Stretches travel in blocks
+  of documents, each digest once for a block, as packed columns; what comes back to a block is two
+  bits for each digest.
+
+Comparing only neighbours in the order of the retained suffixes themselves would lose passages: of
+three texts x, y, z, the suffix of y may sort between those of x and z, agreeing longer with each to
+the right but not to the left, while x and z agree on both sides (the tests hold such a case).  So
+the order is made of all stretches around a candidate, one for each way of extending it.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle, texts
+from .common import parts_of, settle, texts
 from .common import squeeze as _squeeze
 from .common import unsqueeze as _unsqueeze
 
@@ -63,6 +68,11 @@ def rolled(h: np.ndarray, starts: np.ndarray | None, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def twin(digest: np.ndarray, h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A second digest of the same stretches, from other mixings of their words."""
+    return rolled((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93), starts, size) ^ (digest >> np.uint64(7))
+
+
 def minimisers(h: np.ndarray, min_words: int, window: int) -> np.ndarray:
     """Positions of retained suffixes: smallest gram of each window, the leftmost of equals."""
     grams = rolled(h, None, GRAM)
@@ -73,7 +83,7 @@ def minimisers(h: np.ndarray, min_words: int, window: int) -> np.ndarray:
     return at[at + min_words - window + 1 <= len(h)]
 
 
-_SUFFIX = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("pos", pa.int32())])
+_SUFFIX = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("pos", pa.int32())])
 
 
 def _suffixes(min_words: int, window: int):
@@ -103,6 +113,9 @@ _ROW_SQL = "block long, part int, payload binary"
 NULL_ID = -(1 << 63)
 #: Stretches of a block, which bounds its memory.
 BLOCK = 1_500_000
+#: Bytes of the documents for each part of the hash space, which bounds what a task compares: stretches of
+#: that many bytes of text, each packed once for a block.
+PART_BYTES = 32 << 20
 
 
 def _row(block: int, part: int, payload: bytes) -> pa.RecordBatch:
@@ -123,6 +136,7 @@ def _stretches(min_words: int, window: int, parts: int):
         docs: list[tuple[int, int, int]] = []
         starts: list[np.ndarray] = []
         hashes: list[np.ndarray] = []
+        others: list[np.ndarray] = []
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal number
@@ -130,10 +144,10 @@ def _stretches(min_words: int, window: int, parts: int):
             number += 1
             n = np.array([d[2] for d in docs], np.int64)
             doc = np.repeat(np.array([d[0] for d in docs], np.int64), n)
-            mark = np.repeat(np.array([d[1] for d in docs], np.int32), n)
-            start, h = np.concatenate(starts), np.concatenate(hashes)
-            order = np.lexsort((start, mark, doc, h))
-            new = np.r_[True, h[order][1:] != h[order][:-1]]
+            mark = np.repeat(np.array([d[1] for d in docs], np.int64), n)
+            start, h, g = np.concatenate(starts), np.concatenate(hashes), np.concatenate(others)
+            order = np.lexsort((start, mark, doc, g, h))
+            new = _differs(h[order], g[order])
             first = order[new]  # the first place of each distinct hash
             group = np.empty(len(h), np.int64)
             group[order] = np.cumsum(new) - 1
@@ -147,10 +161,11 @@ def _stretches(min_words: int, window: int, parts: int):
             yield _row(name, -1, _squeeze(np.array(docs, "<i8").ravel(), np.diff(start, prepend=0).astype("<i4"), np.diff(which, prepend=0).astype("<i4"), home.astype("<i4"), same.astype("<i1")))
             for p in np.unique(home).tolist():
                 at = first[home == p]
-                yield _row(name, p, _squeeze(h[at].astype("<u8"), doc[at].astype("<i8"), mark[at].astype("<i4"), start[at].astype("<i4"), np.minimum(times[home == p], 2).astype("<i1")))
+                yield _row(name, p, _squeeze(h[at].astype("<u8"), g[at].astype("<u8"), doc[at].astype("<i8"), mark[at].astype("<i8"), start[at].astype("<i4"), np.minimum(times[home == p], 2).astype("<i1")))
             docs.clear()
             starts.clear()
             hashes.clear()
+            others.clear()
 
         held = 0
         for batch in batches:
@@ -163,6 +178,7 @@ def _stretches(min_words: int, window: int, parts: int):
                 docs.append((NULL_ID if doc is None else doc, mark, len(own)))
                 starts.append(own)
                 hashes.append(rolled(h, own, min_words))
+                others.append(twin(hashes[-1], h, own, min_words))
                 held += len(own)
                 if held >= BLOCK:
                     yield from block()
@@ -173,6 +189,11 @@ def _stretches(min_words: int, window: int, parts: int):
     return run
 
 
+def _differs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """In sorted order: whether a digest differs from its neighbour before."""
+    return np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For a part of the hash space: which hashes of each block occur twice or more, and which block has the first."""
     names, own = [], []
@@ -185,9 +206,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own.append(_unsqueeze(payload))
     if not names:
         return
-    h, doc, mark, start, times = (np.concatenate([np.frombuffer(x[i], t) for x in own]) for i, t in enumerate(("<u8", "<i8", "<i4", "<i4", "<i1")))
-    order = np.lexsort((start, mark, doc, h))
-    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    h, g, doc, mark, start, times = (np.concatenate([np.frombuffer(x[i], t) for x in own]) for i, t in enumerate(("<u8", "<u8", "<i8", "<i8", "<i4", "<i1")))
+    order = np.lexsort((start, mark, doc, g, h))
+    new = _differs(h[order], g[order])
     group = np.empty(len(h), np.int64)
     group[order] = np.cumsum(new) - 1
     first = order[new]
@@ -260,20 +281,22 @@ def repeated_passages(
     passages with ``later`` keeps one copy of each.  Spans of one kind that touch or overlap are one.
     A null text has no passages; documents without any have no row.  A document with a null id comes
     before all others and keeps its null.  Rows that repeat both id and text repeat each other, and
-    are reported once.  An empty table gives no rows.  Other columns are not read.
+    are reported once.  Texts of any length are searched whole; a text takes memory in proportion to its
+    words, and a block ends at the text that fills it.  An empty table gives no rows.  Other columns are
+    not read.  The steps before the last run at once.
     """
     if min_words < window + GRAM - 1:
         raise ValueError("min_words must hold a window of grams")
-    own = texts(docs, id_col, text_col).select("doc_id", F.hash("text").alias("mark"), "text")
-    suffixes = own.mapInArrow(_suffixes(min_words, window), "key long, doc_id long, mark int, pos int")
-    # settled, so that both sides of the join come straight from a shuffle and a hot key can be split
+    own = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    # settled, as both the counts and the places are taken from them, and so that a hot key can be split
+    suffixes = settle(own.mapInArrow(_suffixes(min_words, window), "key long, doc_id long, mark long, pos int"))
     twice = settle(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    release(docs.sparkSession)
     hits = suffixes.join(twice, "key", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("at"))
     hits = hits.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "at")
     met = own.join(hits, own["doc_id"].eqNullSafe(hits["d"]) & (own["mark"] == hits["m"])).select("doc_id", "mark", "text", "at")
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_of(docs, PART_BYTES)
     blocks = met.mapInArrow(_stretches(min_words, window, parts), _ROW_SQL)
-    flags = blocks.repartition(parts, F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part"))).mapInArrow(_compare, _ROW_SQL)
+    home = F.when(F.col("part") < 0, F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
+    flags = blocks.repartitionById(parts, home).mapInArrow(_compare, _ROW_SQL)
     back = flags.repartition(parts, "block").sortWithinPartitions("block", "part")
     return back.mapInArrow(_spans(min_words), "doc_id long, start long, stop long, later boolean").distinct()
