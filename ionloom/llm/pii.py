@@ -418,7 +418,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mor
     named = [_named(v, k) for k, v in own.items()]
     step = step.select("*", F.array_sort(F.concat(*named)).alias("base"))
     # candidates are looked for where no base span lies
-    chosen = F.filter(candidates(covered(F.col("_text"), F.col("base"))), lambda c: trees.expression(c["x"]) >= F.lit(trees.threshold))
+    step = step.select("*", covered(F.col("_text"), F.col("base")).alias("_open"))
+    chosen = F.filter(candidates(F.col("_open")), lambda c: trees.expression(c["x"]) >= F.lit(trees.threshold))
     added = F.transform(chosen, lambda c: F.struct(c["start"], _order(_kind(c)).alias("rank"), c["stop"], _kind(c).alias("kind")))
     once = lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
     return step.select("_id", "_text", "_more", "base", let(F.array_sort(F.concat("base", added)), once).alias("spans"))
