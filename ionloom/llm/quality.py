@@ -3,7 +3,8 @@
 Each document has two histograms: of its character classes and of its language's common words.
 A language's reference is the mean histogram of all its documents that are long enough, so it is
 read from the whole corpus.  A document is rejected where its Jensen-Shannon distance from the
-reference is over a threshold, provided it is long enough for the histogram to mean something;
+reference is over a threshold (for common words, a share of the distance that a text without any of
+them has, since most words of any text are others), provided it is long enough for the histogram to mean something;
 the base rules (too few words, too many repeated words) reject on their own.
 
 Everything is DataFrame expressions: a document is one row throughout, and the only shuffle is of
@@ -129,9 +130,15 @@ def _references(hists: DataFrame, min_chars: int, min_words: int) -> DataFrame:
         F.col("key").alias("ref_key"),
         F.array(*(f"c{i}" for i in range(len(CLASSES)))).alias("class_ref"),
         F.array(*(f"w{i}" for i in range(width))).alias("word_ref"),
+        _ceiling(F.col(f"w{width - 1}")).alias("word_ceiling"),
     )
 
 
+def _ceiling(rest: Column) -> Column:
+    """The word distance of a text without any common word, by the reference's share of other words."""
+    return F.sqrt((1 - rest + F.log2(2 / (1 + rest)) + F.when(rest > 0, rest * F.log2(2 * rest / (1 + rest))).otherwise(0.0)) / 2)
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, base 2, of two arrays of shares (null where either has a null)."""
 
@@ -154,7 +161,7 @@ def quality(
     min_chars: int = 200,
     min_words: int = 60,
     most_class_distance: float = 0.3,
-    most_word_distance: float = 0.32,
+    most_word_share: float = 0.97,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Counts, distances and the verdict ``kept`` for each row of ``docs``.
@@ -208,8 +215,9 @@ def quality(
             (F.col("n_words") >= min_words) & (F.size("word_hist") > 0),
             js_distance(_share(F.col("word_hist"), F.col("n_words")), F.col("word_ref")),
         ).alias("word_distance"),
+        "word_ceiling",
     )
-    over = (F.coalesce("class_distance", F.lit(0.0)) > most_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > most_word_distance)
+    over = (F.coalesce("class_distance", F.lit(0.0)) > most_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > F.coalesce(F.lit(most_word_share) * F.col("word_ceiling"), F.lit(2.0)))
     own = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(*own, (~F.col("base_failed") & ~over).alias("kept"), "class_distance", "word_distance", *(["_row"] if keep else []))
 
@@ -228,7 +236,7 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     return held.where("kept").select(*(F.col("_row")[c].alias(c) for c in names))
 
 
-def oracle(min_chars: int = 200, min_words: int = 60, most_class: float = 0.3, most_word: float = 0.32) -> str:
+def oracle(min_chars: int = 200, min_words: int = 60, most_class: float = 0.3, most_word: float = 0.97) -> str:
     """The registered query's rows in SQL."""
     listed = ", ".join(f"('{k}', {i}, '{w}')" for k, words in COMMON_WORDS.items() for i, w in enumerate(words))
     keys = ", ".join(f"'{k}'" for k in COMMON_WORDS)
@@ -249,7 +257,8 @@ def oracle(min_chars: int = 200, min_words: int = 60, most_class: float = 0.3, m
     grid AS (SELECT c.rid, c.k, c.n, l.i, coalesce(h.m, 0) AS m FROM c JOIN lists l ON l.k = c.k LEFT JOIN hit h ON h.rid = c.rid AND h.i = l.i WHERE c.n >= {min_words}),
     wrd AS (SELECT rid, k, i, m::DOUBLE / n AS p FROM grid UNION ALL SELECT rid, k, 99, (any_value(n) - sum(m))::DOUBLE / any_value(n) FROM grid GROUP BY rid, k),
     wrd_ref AS (SELECT k, i, avg(p) AS q FROM wrd GROUP BY ALL),
-    wd AS (SELECT rid, {distance} AS wd FROM wrd JOIN wrd_ref USING (k, i) GROUP BY rid),
+    top AS (SELECT k, sqrt((1 - q + log2(2 / (1 + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (1 + q)) ELSE 0 END) / 2) AS ceiling FROM wrd_ref WHERE i = 99),
+    wd AS (SELECT rid, {distance} / any_value(ceiling) AS wd FROM wrd JOIN wrd_ref USING (k, i) JOIN top USING (k) GROUP BY rid),
     win AS (SELECT rid, i, ws[i:i + 7] AS g FROM (SELECT rid, ws, unnest(generate_series(1, n - 7)) AS i FROM c WHERE n >= 8)),
     twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS m FROM win) WHERE m > 1),
     rep AS (SELECT rid, count(DISTINCT i + j) AS m FROM twice, (SELECT unnest(generate_series(0, 7)) AS j) GROUP BY rid),
