@@ -12,12 +12,11 @@ from .roles import table
 
 @query(
     "parse_annotation",
-    r"""WITH n AS (SELECT page_id, 'run' || page_id || CASE WHEN page_id % 3 = 0 THEN '' ELSE '@T$m' || (page_id % 5) || '#FITC&B@' END || '.txt' AS filename FROM pages),
-        p AS (SELECT filename, regexp_extract(filename, '^(.+?)(?:@\s*(.+?)\s*@)?\.[^.]+$', 1) AS base, regexp_extract(filename, '^(.+?)(?:@\s*(.+?)\s*@)?\.[^.]+$', 2) AS ann FROM n),
-        e AS (SELECT filename, base, unnest(string_split(ann, '&')) AS e FROM p WHERE ann <> '' UNION ALL SELECT filename, base, NULL FROM p WHERE ann = '')
-        SELECT filename, base, nullif(regexp_extract(e, '^([^$#]+)(?:\$([^#]+))?(?:#(.+))?', 1), '') AS cell_type, nullif(regexp_extract(e, '^([^$#]+)(?:\$([^#]+))?(?:#(.+))?', 2), '') AS marker_name,
-          nullif(regexp_extract(e, '^([^$#]+)(?:\$([^#]+))?(?:#(.+))?', 3), '') AS channel, CASE WHEN e LIKE 'T$m%' THEN 700.0::DOUBLE + filename_digit END AS mz
-        FROM (SELECT *, try_cast(regexp_extract(e, 'm(\d)', 1) AS DOUBLE) AS filename_digit FROM e)""",
+    """WITH n AS (SELECT page_id % 3 <> 0 AS noted, page_id % 5 AS m, 'run' || page_id AS base FROM pages),
+        f AS (SELECT *, base || CASE WHEN noted THEN '@T$m' || m || '#FITC&B@' ELSE '' END || '.txt' AS filename FROM n)
+        SELECT filename, base, 'T' AS cell_type, 'm' || m AS marker_name, 'FITC' AS channel, 700.0::DOUBLE + m AS mz FROM f WHERE noted
+        UNION ALL SELECT filename, base, 'B', NULL, NULL, NULL FROM f WHERE noted
+        UNION ALL SELECT filename, base, NULL, NULL, NULL, NULL FROM f WHERE NOT noted""",
 )
 def parse_annotation(spark, sf):
     pages = table(spark, sf, "pages")

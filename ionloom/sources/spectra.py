@@ -17,6 +17,8 @@ from .tables import file_name
 PEAKS = "array<struct<mz:double,intensity:double>>"
 #: Marker lines of the text export (fixed values of the format).
 MZ_LINE, INTENSITY_LINE = "cvParam: m/z array, m/z", "cvParam: intensity array, number of detector counts"
+#: Lines of a scan in the same export, with the value they carry (fixed values of the format).
+ID_LINE, START_LINE, TIC_LINE = r"id: scanId=(.*)", r"cvParam: scan start time, (.*), minute", r"cvParam: total ion current, (.*), number of detector counts"
 #: Accessions of the controlled vocabulary (fixed values).
 MZ_ARRAY, INTENSITY_ARRAY, FLOAT32, FLOAT64, ZLIB, TIC, START = "MS:1000514", "MS:1000515", "MS:1000521", "MS:1000523", "MS:1000574", "MS:1000285", "MS:1000016"
 MINUTE = "UO:0000031"
@@ -46,9 +48,9 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     scans = records.where(value.contains("scanId=")).select(
         "run_id",
         F.regexp_extract(value, r"index:\s*(\d+)", 1).try_cast("long").alias("scan_index"),
-        F.trim(F.regexp_extract(value, r"id: scanId=(.*)", 1)).alias("scan_id"),
-        F.regexp_extract(value, r"cvParam: scan start time, (.*), minute", 1).try_cast("double").alias("scan_start_time"),
-        F.regexp_extract(value, r"cvParam: total ion current, (.*), number of detector counts", 1).try_cast("double").alias("tic"),
+        F.trim(F.regexp_extract(value, ID_LINE, 1)).alias("scan_id"),
+        F.regexp_extract(value, START_LINE, 1).try_cast("double").alias("scan_start_time"),
+        F.regexp_extract(value, TIC_LINE, 1).try_cast("double").alias("tic"),
         numbers(MZ_LINE).alias("_mz"),
         numbers(INTENSITY_LINE).alias("_in"),
     )

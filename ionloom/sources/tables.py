@@ -121,14 +121,19 @@ def annotations(files: DataFrame, markers: DataFrame | None = None, colors: Data
     ``base(@cell$marker#channel&...@).ext``.  With ``markers`` (marker_name, mz) and ``colors``
     (cell_type, color_code), an unknown name raises; without them mass or colour is null.
     """
-    whole = r"^(.+?)(?:@\s*(.+?)\s*@)?\.[^.]+$"
-    named = files.select(name, F.regexp_extract(name, whole, 1).alias("base"), F.regexp_extract(name, whole, 2).alias("_ann"))
+    # the extension goes; what stands between the first '@' and one at the end is the annotation
+    stem = F.regexp_extract(name, r"(?s)^(.+)\.[^.]+$", 1)
+    halves = F.split(stem, "@", 2)
+    closed = (F.size(halves) == 2) & (F.element_at(halves, 1) != "") & F.endswith(stem, F.lit("@")) & (F.char_length(F.get(halves, F.lit(1))) > 1)
+    note = F.trim(F.regexp_replace(F.get(halves, F.lit(1)), "@$", ""))
+    named = files.select(name, F.when(closed, F.get(halves, F.lit(0))).otherwise(stem).alias("base"), F.when(closed, note).otherwise("").alias("_ann"))
     named = named.withColumn("base", F.when(F.col("base") == "", F.raise_error(F.concat(F.lit("file name has no extension: "), F.col(name)))).otherwise(F.col("base")))
-    entry = F.explode_outer(F.when(F.col("_ann") != "", F.split("_ann", "&")))
-    parts = named.select(name, "base", entry.alias("_e"))
-    pattern = r"^([^$#]+)(?:\$([^#]+))?(?:#(.+))?"
-    blank = lambda i: F.nullif(F.regexp_extract("_e", pattern, i), F.lit(""))
-    out = parts.select(name, "base", blank(1).alias("cell_type"), blank(2).alias("marker_name"), blank(3).alias("channel"))
+    parts = named.select(name, "base", F.explode_outer(F.when(F.col("_ann") != "", F.split("_ann", "&"))).alias("_e"))
+    # cell$marker#channel, of which marker and channel may be missing
+    e, blank = F.col("_e"), lambda c: F.nullif(c, F.lit(""))
+    front, channel = F.split_part(e, F.lit("#"), F.lit(1)), F.when(F.contains(e, F.lit("#")), F.substring(e, F.instr(e, "#") + 1, F.char_length(e)))
+    marker = F.when(F.contains(front, F.lit("$")), F.substring(front, F.instr(front, "$") + 1, F.char_length(front)))
+    out = parts.select(name, "base", blank(F.split_part(front, F.lit("$"), F.lit(1))).alias("cell_type"), blank(marker).alias("marker_name"), blank(channel).alias("channel"))
     if markers is not None:
         out = out.join(markers.select("marker_name", "mz").dropDuplicates(["marker_name"]), "marker_name", "left")
         missing = F.col("marker_name").isNotNull() & F.col("mz").isNull()
