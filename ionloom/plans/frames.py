@@ -25,8 +25,8 @@ def sqrt_values(spark, sf):
     + BASE_SQL
     + f""",
     ends AS (SELECT event_type, quantile_cont(data, 0.05) AS lo, quantile_cont(data, 0.95) AS hi FROM based WHERE data IS NOT NULL GROUP BY 1),
-    lim AS (SELECT event_type, avg(data) + 5 * stddev_pop(data) AS t FROM based JOIN ends USING (event_type) WHERE data BETWEEN lo AND hi GROUP BY 1)
-    SELECT event_type, idx::BIGINT AS index, {fixed_sql("t - coalesce(baseline, 0)", 3)} AS threshold FROM based JOIN lim USING (event_type)""",
+    lim AS (SELECT event_type, avg(data) + 5 * stddev_pop(data) AS top FROM based JOIN ends USING (event_type) WHERE data BETWEEN lo AND hi GROUP BY 1)
+    SELECT event_type, idx::BIGINT AS index, {fixed_sql("top - coalesce(baseline, 0)", 3)} AS threshold FROM based JOIN lim USING (event_type)""",
 )
 def raw_threshold(spark, sf):
     based = signal.median_baseline(series(spark, sf), ["event_type"])
