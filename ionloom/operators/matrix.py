@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
 from .signal import within_periods
 
 #: Least total that a normalisation divides by (double precision's epsilon).
@@ -209,7 +210,16 @@ def regress_out_many(df: DataFrame, keys: Sequence[str], regressors: Sequence[st
 
 
 def percentile_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "pct_rank") -> DataFrame:
-    """Rank as a share of the group, ties at their mean rank."""
+    """Rank as a share of the group, ties at their mean rank, nulls first.
+
+    Without keys, ranks are running totals over the distinct values, so no task has all rows.
+    """
+    if not keys:
+        sizes = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_ties"))
+        placed = running(sizes, ["_v"], "_ties", "_upto")
+        whole = F.broadcast(sizes.agg(F.sum("_ties").alias("_all")))  # one row
+        met = df.join(placed, F.col(value).eqNullSafe(F.col("_v"))).crossJoin(whole)
+        return met.withColumn(out, (F.col("_upto") - (F.col("_ties") - 1) / 2) / F.col("_all")).drop("_v", "_ties", "_upto", "_all")
     by = Window.partitionBy(*keys)
     ties = F.count("*").over(Window.partitionBy(*keys, value))
     return df.withColumn(out, (F.rank().over(by.orderBy(value)) + (ties - 1) / 2) / F.count("*").over(by))

@@ -7,9 +7,10 @@ groups (a linkage).
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +19,30 @@ from .matrix import percentile_rank
 
 
 def covariance(df: DataFrame, vector: str = "v") -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean, population covariance and count, from one aggregate of partial Gram sums."""
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.linalg import Vectors
-
-    summary = df.select(Summarizer.metrics("mean", "count").summary(array_to_vector(F.col(vector))).alias("s")).select("s.mean", "s.count").first()
+    """Mean, population covariance and count: sums of outer products in the JVM, added up in a tree; what comes to the driver is one matrix."""
+    vectors = df.select(array_to_vector(F.col(vector)).alias("_v"))
+    summary = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).select("s.mean", "s.variance", "s.count").first()
     n = int(summary["count"])
     mean = np.array(summary["mean"].toArray())
     if n < 2:
         return mean, np.zeros((len(mean), len(mean))), n
-    rows = df.select(vector).rdd.map(lambda r: Vectors.dense(r[0]))
-    return mean, RowMatrix(rows).computeCovariance().toArray() * (n - 1) / n, n
+    sd = np.sqrt(np.array(summary["variance"].toArray()) * (n - 1) / n)
+    corr = np.nan_to_num(Correlation.corr(vectors, "_v").first()[0].toArray())  # a constant feature correlates with nothing
+    np.fill_diagonal(corr, 1.0)
+    return mean, corr * np.outer(sd, sd), n
+
+
+def _projected(df: DataFrame, id_col: str, vector: str, shift: np.ndarray, loadings: np.ndarray) -> DataFrame:
+    """``pcs`` of each row: a matrix product for each Arrow batch."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), len(shift)) if len(lists) else np.zeros((0, len(shift)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list((x - shift) @ loadings), pa.list_(pa.float64()))], names=[id_col, "pcs"])
+
+    return df.select(id_col, F.col(vector).cast("array<double>").alias("_v")).mapInArrow(run, f"`{id_col}` {kind}, pcs array<double>")
 
 
 def pca(df: DataFrame, k: int = 50, id_col: str = "cell", vector: str = "v", zero_center: bool = True, mask: list[bool] | None = None) -> dict:
@@ -49,10 +63,7 @@ def pca(df: DataFrame, k: int = 50, id_col: str = "cell", vector: str = "v", zer
     spread = values[order] * n / max(1, n - 1)
     total = np.trace(own[np.ix_(at, at)]) * n / max(1, n - 1)
     shift = mean if zero_center else np.zeros(len(mean))
-    axes = F.array(*(F.array(*(F.lit(float(x)) for x in loadings[:, j])) for j in range(loadings.shape[1])))
-    centered = F.zip_with(vector, F.array(*(F.lit(float(x)) for x in shift)), lambda a, b: a.cast("double") - b)
-    score = F.transform(axes, lambda axis: F.aggregate(F.zip_with(axis, F.col("_c"), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x))
-    scores = df.select(id_col, centered.alias("_c")).select(id_col, score.alias("pcs"))
+    scores = _projected(df, id_col, vector, shift, loadings)
     return {"scores": scores, "loadings": loadings, "variance": spread, "variance_ratio": spread / total}
 
 
@@ -123,30 +134,62 @@ def dendrogram(df: DataFrame, by: str, vector: str = "v", cor: str = "pearson",
     return {"categories": [r[by] for r in rows], "correlation": corr, "linkage": merges, "order": [rows[i][by] for i in leaves]}
 
 
-def neighbours(df: DataFrame, k: int = 15, id_col: str = "cell", vector: str = "pcs", block: int = 512) -> DataFrame:
-    """``src, dst, distance``: each row's k nearest others, exact, by blocks of rows against blocks of rows."""
-    import pyarrow as pa
-
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    a = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = a.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("b").alias("x"), F.col("pair").alias("y"), "id", "v")
-    right = a.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("pair").alias("x"), F.col("b").alias("y"), "id", "v")
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.float64())])
-
-    def run(p: pa.Table, q: pa.Table) -> pa.Table:
-        if not p.num_rows or not q.num_rows:
-            return schema.empty_table()
-        pi, qi = p.column("id").to_numpy(), q.column("id").to_numpy()
-        pv, qv = (np.array(t.column("v").to_pylist(), float) for t in (p, q))
-        d = np.sqrt(np.maximum(((pv[:, None, :] - qv[None, :, :]) ** 2).sum(-1), 0))
-        d[pi[:, None] == qi[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        at = np.repeat(np.arange(len(pi)), order.shape[1])
-        away = d[at, order.ravel()]
-        ok = np.isfinite(away)
-        return pa.table([pa.array(pi[at[ok]]), pa.array(qi[order.ravel()[ok]]), pa.array(away[ok])], schema=schema)
-
-    met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(run, "src long, dst long, distance double")
+def clustermap(df: DataFrame, by: str, vector: str = "v", method: str = "average") -> dict:
+    """Leaf orders of the groups and of the features of the groups' mean matrix, by Euclidean distance; one vector per group comes to the driver."""
+    rows = df.groupBy(by).agg(Summarizer.mean(array_to_vector(F.col(vector))).alias("m")).orderBy(by).collect()
+    means = np.array([r["m"].toArray() for r in rows])
+
+    def order(x: np.ndarray) -> list[int]:
+        return linkage(np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0)), method)[1] if len(x) > 1 else list(range(len(x)))
+
+    return {"categories": [r[by] for r in rows], "means": means, "rows": [rows[i][by] for i in order(means)] if len(rows) else [], "columns": order(means.T) if len(rows) else []}
+
+
+def neighbours(df: DataFrame, k: int = 15, id_col: str = "cell", vector: str = "pcs", shard_rows: int = 1 << 15, block: int = 256) -> DataFrame:
+    """``src, dst, distance``: each row's k nearest others, exact, ties to the smaller id.
+
+    Rows are dealt to shards of bounded size; a shard is one task, past which all rows are streamed in
+    blocks.  The rows are counted at once.
+    """
+    shards = max(1, -(-df.count() // shard_rows))
+    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    dealt = own.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v")
+    sent = own.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "v")
+    matrix = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+
+    def run(batches):
+        """Rows come sorted: a shard's own before those that ask."""
+        shard, held, ids, points = None, [], None, None
+        for batch in batches:
+            place = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(place)) + 1, len(place)]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(lo, hi - lo)
+                if hi > lo and place[lo] >> 1 != shard:
+                    shard, held, ids = place[lo] >> 1, [], None
+                if hi == lo or place[lo] % 2 == 0:
+                    held += [part] if hi > lo else []
+                    continue
+                if ids is None:
+                    ids = np.concatenate([h.column(2).to_numpy() for h in held]) if held else np.empty(0, np.int64)
+                    points, held = np.concatenate([matrix(h.column(3)) for h in held]) if held else None, []
+                for at in range(0, part.num_rows if len(ids) else 0, block):
+                    few = part.slice(at, block)
+                    names, x = few.column(2).to_numpy(), matrix(few.column(3))
+                    d = np.zeros((len(names), len(ids)))
+                    for j in range(x.shape[1]):
+                        d += (x[:, j, None] - points[None, :, j]) ** 2
+                    d[names[:, None] == ids[None, :]] = np.inf
+                    # all that are as near as the k-th, so that ties are settled by id
+                    limit = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                    row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+                    order = np.lexsort((ids[col], d[row, col], row))
+                    row, col = row[order], col[order]
+                    first = np.searchsorted(row, row, "left")
+                    keep = np.arange(len(row)) - first < k
+                    row, col = row[keep], col[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[col]), pa.array(np.sqrt(d[row, col]))], names=["src", "dst", "distance"])
+
+    met = dealt.unionByName(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", "asks").mapInArrow(run, "src long, dst long, distance double")
     w = Window.partitionBy("src").orderBy("distance", "dst")
     return met.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")

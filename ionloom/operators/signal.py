@@ -1,17 +1,19 @@
 """Signals: blocks, baselines, robust thresholds, peaks.
 
 A signal is rows of ``key`` columns (run, marker), an integer ``index`` in acquisition order and a
-``data`` value, null where nothing was measured.  All windows are partitioned by the key columns; a
-block or island is the unit of any Python kernel.
+``data`` value, null where nothing was measured; an index stands once in a series.  Windows are
+partitioned by the key columns, and those of blocks and maxima by chunks of a series too; a block or
+island is the unit of any Python kernel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import corrected_signal
@@ -22,8 +24,36 @@ def blocks(df: DataFrame, keys: Sequence[str], size: int = 100, index: str = "in
 
     A series of under two blocks has no second-last one to merge into: it is block 0.
     """
-    last = F.greatest(F.ceil(F.count("*").over(Window.partitionBy(*keys)) / size) - 2, F.lit(0))
-    return df.withColumn("block", F.least(F.floor(F.col(index) / size), last).cast("long"))
+    sizes = df.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / size) - 2, F.lit(0)).alias("_last"))
+    return same_keys(df, sizes, keys).withColumn("block", F.least(F.floor(F.col(index) / size), F.col("_last")).cast("long")).drop("_last")
+
+
+def same_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``other``, which has a row for each of its keys; null keys are keys too."""
+    named = other.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(c for c in other.columns if c not in keys))
+    return df.join(named, all_of([F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])).drop(*(f"_key_{k}" for k in keys))
+
+
+def all_of(tests: Sequence) -> Column:
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def beside(df: DataFrame, keys: Sequence[str], value: Column, index: str = "index", chunk: int = 1 << 16) -> DataFrame:
+    """``_x``, ``_before``, ``_after``: a row's value and those of the rows before and after it in its series.
+
+    Series are cut into chunks of ``chunk`` positions, so a long one is many tasks; a chunk's outer rows
+    find their neighbours through one summary row for each chunk.
+    """
+    cut = df.withColumn("_x", value).withColumn("_chunk", F.floor(F.col(index) / chunk))
+    ends = cut.groupBy(*keys, "_chunk").agg(F.min(F.struct(F.col(index).alias("i"), "_x")).alias("_lo"), F.max(F.struct(F.col(index).alias("i"), "_x")).alias("_hi"))
+    along = Window.partitionBy(*keys).orderBy("_chunk")
+    sides = ends.select(*keys, "_chunk", F.col("_lo.i").alias("_first"), F.col("_hi.i").alias("_final"), F.lag("_hi").over(along)["_x"].alias("_prior"), F.lead("_lo").over(along)["_x"].alias("_next"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(index)
+    inner = cut.withColumn("_before", F.lag("_x").over(w)).withColumn("_after", F.lead("_x").over(w))
+    met = same_keys(inner, sides, [*keys, "_chunk"])
+    before = F.when(F.col(index) == F.col("_first"), F.col("_prior")).otherwise(F.col("_before"))
+    after = F.when(F.col(index) == F.col("_final"), F.col("_next")).otherwise(F.col("_after"))
+    return met.withColumn("_before", before).withColumn("_after", after).drop("_chunk", "_first", "_final", "_prior", "_next")
 
 
 def median_baseline(df: DataFrame, keys: Sequence[str], size: int = 100, index: str = "index", data: str = "data", most_missing: float = 0.8) -> DataFrame:
@@ -114,9 +144,7 @@ def local_maxima(df: DataFrame, keys: Sequence[str], value: str = "signal", inde
     ``edge``: which end of a flat top counts (rising, falling, both, or None for neither).
     ``min_height``: a column with the least height; ``threshold``: the least drop to both neighbours.
     """
-    w = Window.partitionBy(*keys).orderBy(index)
-    x = -F.col(value) if valley else F.col(value)
-    d = df.withColumn("_x", x).withColumn("_before", F.lag("_x").over(w)).withColumn("_after", F.lead("_x").over(w))
+    d = beside(df, keys, -F.col(value) if valley else F.col(value), index)
     up, down = F.col("_x") - F.col("_before"), F.col("_after") - F.col("_x")
     rising, falling = (down <= 0) & (up > 0), (down < 0) & (up >= 0)
     tests = {"rising": rising, "falling": falling, "both": rising | falling, None: (down < 0) & (up > 0)}

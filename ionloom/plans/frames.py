@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import frames, matrix, peaks, signal, workflows
-from ..sources import tables
+from ..operators import frames, matrix, ml, peaks, ranges, signal, workflows
 from .analyses import _acquisition
 from .catalogue import query
 from .roles import BASE_SQL, fixed, fixed_sql, table, vectors
@@ -74,7 +73,7 @@ def extract_channel_twice(spark, sf):
 )
 def analysis_obs(spark, sf):
     scans, spectra = _acquisition(spark, sf)
-    placed = tables.number_rows(scans, ["scan_index"]).withColumn("scan_index", F.col("number") - 1).withColumn("cell", F.round(F.col("scan_start_time") * 100).cast("long")).drop("number")
+    placed = ranges.running(scans, ["scan_index"]).withColumn("scan_index", F.col("number") - 1).withColumn("cell", F.round(F.col("scan_start_time") * 100).cast("long")).drop("number")
     signals = placed.select("run_id", F.lit("TIC").alias("marker"), F.col("scan_index").alias("index"), F.col("scan_start_time").alias("time"), F.col("tic").alias("data"))
     long = spectra.select(F.col("scan_index").alias("cell"), F.col("pos").alias("feature"), F.col("intensity").alias("value"))
     obs = workflows.assemble(placed, long, signals)["obs"]
@@ -188,3 +187,17 @@ def split_batches(spark, sf):
     )
     parts = workflows.split_batches(wide, 1)
     return parts["matrix"].join(parts["meta"], ["batch", "feature"]).select("batch", "line", "cell", "value")
+
+
+@query("clustermap_order")
+def clustermap_order(spark, sf):
+    """Leaf orders of the groups and the features of the groups' means; tested against brute force."""
+    v = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    found = ml.clustermap(v, "label")
+    rows = [("group", i, int(c)) for i, c in enumerate(found["rows"])] + [("feature", i, int(c)) for i, c in enumerate(found["columns"])]
+    return spark.createDataFrame(rows, "axis string, position int, item int")
+
+
+@query("percentile_rank_all", "SELECT event_id, ((rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE) / count(*) OVER ())::DOUBLE AS pct_rank FROM events")
+def percentile_rank_all(spark, sf):
+    return matrix.percentile_rank(table(spark, sf, "events"), "value").select("event_id", F.col("pct_rank").cast("double").alias("pct_rank"))

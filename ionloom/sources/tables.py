@@ -8,9 +8,11 @@ from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
+
 
 def file_name() -> Column:
     """The name of the file a row was read from; the reader has it with percent escapes, in which a plus is a plus."""
@@ -45,32 +47,13 @@ class Dataset:
         return {n: df.columns for n, df in self.tables.items()}
 
 
-def number_rows(df: DataFrame, order: Sequence[str], out: str = "number", parts: int = 64) -> DataFrame:
-    """``number`` from 1 in the order of the columns (nulls first), without one task for all rows.
-
-    Rows go to ranges of the first column, which must be a number, are numbered within their range, and
-    moved on by the rows of the ranges before.  The bounds of the ranges are ``parts`` approximate
-    quantiles, looked up by a job of their own; the numbers don't depend on how well they fit.
-    """
-    first = F.col(order[0])
-    cuts = df.select(F.percentile_approx(first, [i / parts for i in range(1, parts)], 1000).alias("c")).first()["c"] or []
-    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    spot = F.coalesce(F.size(F.filter(bounds, lambda c: c < first)), F.lit(-1)) if cuts else F.lit(0)
-    dealt = df.withColumn("_range", F.when(first.isNull(), F.lit(-1)).otherwise(spot))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    met = dealt.withColumn("_in", inside).join(before, "_range")
-    return met.withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_range", "_in", "_before")
-
-
 def cell_feature_table(matrix: DataFrame, obs: DataFrame, var: DataFrame, var_columns: Sequence[str] = (), cells: Sequence[str] | None = None) -> DataFrame:
     """Features by cells in wide form: cells renumbered by start time, feature columns in front.
 
     The number of columns is that of the cells, so this is for export of one run; give ``cells`` (the
     new names) where they are known, else they are looked up.
     """
-    numbered = number_rows(obs.select("scan_start_time", "cell"), ["scan_start_time", "cell"]).select("cell", F.format_string("Cell%05d", F.col("number")).alias("name"))
+    numbered = running(obs.select("scan_start_time", "cell"), ["scan_start_time", "cell"]).select("cell", F.format_string("Cell%05d", F.col("number")).alias("name"))
     names = list(cells) if cells is not None else [f"Cell{i + 1:05d}" for i in range(numbered.count())]
     wide = matrix.join(numbered, "cell").groupBy("feature").pivot("name", names).agg(F.max("value"))
     return var.select("feature", *var_columns).join(wide, "feature")

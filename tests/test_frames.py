@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionloom.functions import scalars
-from ionloom.operators import frames, matrix, peaks, signal, workflows
+from ionloom.operators import frames, matrix, ml, peaks, ranges, signal, workflows
 from ionloom.sources import spectra, tables
 
 
@@ -75,8 +75,8 @@ def test_numbers_do_not_need_one_task(spark):
     rows = [(None if x < 2 else float(x % 50), int(i)) for i, x in enumerate(rng.integers(0, 400, 1000))]
     df = spark.createDataFrame(rows, "t double, i int")
     want = {i: n + 1 for n, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0.0, r[1])))}
-    assert {r.i: r.number for r in tables.number_rows(df, ["t", "i"], parts=7).collect()} == want
-    assert tables.number_rows(df.limit(0), ["t", "i"]).count() == 0
+    assert {r.i: r.number for r in ranges.running(df, ["t", "i"], parts=7).collect()} == want
+    assert ranges.running(df.limit(0), ["t", "i"]).count() == 0
 
 
 def brute_maxima(x):
@@ -201,3 +201,41 @@ def test_log_and_library(spark, tmp_path):
     assert tables.read_library(spark, str(path), {"Metabolite": "metabolite"}).columns == ["mz", "metabolite"]
     with pytest.raises(KeyError):
         tables.read_library(spark, str(path), {"x": "y"})
+
+
+def test_neighbours_components_and_clustermap(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 4, (300, 5)).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "cell long, pcs array<double>")
+    got = {(r.src, r.dst) for r in ml.neighbours(df, 4, shard_rows=70, block=32).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    assert got == {(i, j) for i in range(300) for _, j in sorted((d[i, j], j) for j in range(300) if j != i)[:4]}
+    mean, cov, n = ml.covariance(df, "pcs")
+    assert n == 300 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T, bias=True))
+    flat = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "cell long, v array<double>")
+    assert np.allclose(ml.covariance(flat, "v")[1], [[2, 0], [0, 0]])
+    scores = np.array([r.pcs for r in ml.pca(df, 3, vector="pcs")["scores"].orderBy("cell").collect()])
+    assert np.allclose(np.cov(scores.T, bias=True), np.diag(np.sort(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1][:3]))
+    groups = spark.createDataFrame([(g, [float(g // 2 * 10 + g), float(g), 5.0]) for g in (3, 0, 2, 1)], "g int, v array<double>")
+    found = ml.clustermap(groups, "g")
+    assert {frozenset(found["rows"][:2]), frozenset(found["rows"][2:])} == {frozenset((0, 1)), frozenset((2, 3))} and sorted(found["columns"]) == [0, 1, 2]
+
+
+def test_percentile_rank_without_groups(spark):
+    values = [3.0, None, 1.0, 3.0, 2.0, None]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    got = {r.i: r.pct_rank for r in matrix.percentile_rank(df, "x").collect()}
+    want = {r.i: r.pct_rank for r in matrix.percentile_rank(df.withColumn("k", F.lit(1)), "x", ["k"]).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_neighbours_over_chunks(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if s == 2 else str(s), int(i), None if rng.random() < 0.1 else float(rng.integers(0, 5))) for s in range(3) for i in sorted(rng.choice(200, 60, replace=False))]
+    df = spark.createDataFrame(rows, "k string, index long, x double")
+    got = {(r.k, r["index"]): (r._before, r._after) for r in signal.beside(df, ["k"], F.col("x"), chunk=7).collect()}
+    for key in ("0", "1", None):
+        own = [r for r in rows if r[0] == key]
+        for a, b, c in zip([None, *own[:-1]], own, [*own[1:], None]):
+            assert got[key, b[1]] == (a and a[2], c and c[2])
+    assert len(got) == 180
