@@ -90,7 +90,8 @@ def removed_lines(
     "Earlier" is by document id (nulls last), then a hash of the text, then line number; a line goes
     if any earlier line, kept or not, is within the bound.  Lines without a word stay.  A null text
     has no lines.  Rows that repeat both id and text are one document (``mark`` tells texts of one id
-    apart).  An empty table gives no rows.  Other columns are not read.
+    apart).  Texts and lines of any length are compared whole.  An empty table gives no rows.  Other
+    columns are not read.  The steps before the last run at once.
     """
     own = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("mark"), "text")
     place = F.struct("d", "mark", "line")
@@ -171,7 +172,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     met = keyed.join(lists, ["_d", "_mark"], "left")
     old = F.col("_row")[text_col]
     new = F.when(F.col("_gone").isNull(), old).otherwise(
-        F.array_join(F.filter(F.split(old, "\n"), lambda s, i: ~F.array_contains("_gone", i)), "\n")
+        let(F.split(old, "\n"), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "\n"))
     )
     out = met.select("_row", "_gone", new.alias("_new"))
     if drop_emptied:

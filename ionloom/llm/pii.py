@@ -407,7 +407,9 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mor
 
     ``base`` and ``spans``: arrays of struct(start, rank, stop, kind) in order (start, then the
     kind's place in KINDS), in code points with ``stop`` exclusive; ``base`` has the exact patterns,
-    ``spans`` these and the chosen candidates.  A null or empty text has none; null ids and repeated
+    ``spans`` these and the chosen candidates.  Texts of any length are searched whole, in time in
+    proportion to them and their matches.  Spans of one start (ties) stand by their kind, then their end.
+    A null or empty text has none; null ids and repeated
     rows each have their row; an empty table gives no rows.  ``more``: other columns to keep.
     """
     trees = model(docs.sparkSession)

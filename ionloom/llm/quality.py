@@ -170,7 +170,8 @@ def quality(
     rules, as do all texts of under ``fewest_words`` words.  A null or unlisted language is compared
     with the mean of all such documents, by character classes only.  A document below ``min_chars``
     characters or ``min_words`` words isn't judged by that histogram (its distance is null), nor is
-    any where no document is long enough to make a reference.  Repeated rows and null ids each have
+    any where no document is long enough to make a reference.  Texts of any length are judged whole; a
+    distance at a threshold (a tie) passes.  Repeated rows and null ids each have
     their row; an empty table gives no rows; other columns are not read, but those in ``keep``, which
     come along in a struct ``_row``.
     """

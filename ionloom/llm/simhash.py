@@ -234,7 +234,8 @@ def near_duplicates(
     like any other.  Fingerprints link at ``radius`` or fewer differing bits, and a component's id
     is the smallest ``doc_id`` that can be reached (null ids are passed over; a component of null
     ids only has a null id).  Repeated rows each have their row.  An empty table gives no rows.
-    Other columns are not read.  ``rounds`` above 1 links by further fingerprints from other hashes of
+    Whole texts of any length count.  Other columns are not read.  Steps before the last run at once.
+    ``rounds`` above 1 links by further fingerprints from other hashes of
     the same shingles too, which catches copies that one fingerprint happens to set further apart.
     """
     fps = settle(texts(docs, id_col, text_col).mapInArrow(_fingerprints(words, seed, rounds), "doc_id long, fp long, more array<long>"))
