@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, settle, texts
+from .common import SPACE_CLASS, discard, let, settle, texts
 from .quality import SPACES
 
 #: Stands for a null document id in the order of lines: after all others.
@@ -140,6 +140,7 @@ def removed_lines(
     # every occurrence of lines that occur twice or are near an earlier one
     # (settled, so that the join's sides come straight from a shuffle and a hot line can be split)
     known = settle(distinct.select("h1", "h2", "first", "c").join(near, ["h1", "h2"], "left").where("c > 1 or of is not null").select("h1", "h2", "first", "of"))
+    discard(docs.sparkSession, distinct, few, table)
     places = lines.select(place.alias("o"), "h1", "h2")
     gone = places.join(known, ["h1", "h2"]).where("o > first or of is not null")
     exact = F.col("o") > F.col("first")

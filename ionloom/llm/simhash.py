@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, texts
+from .common import discard, settle, texts
 from .components import components
 
 BITS = 64
@@ -259,6 +259,7 @@ def near_duplicates(
     placed = settle(
         nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
     )
+    discard(docs.sparkSession, nodes, tree)
     return fps.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
