@@ -20,17 +20,17 @@ from .features import annotate, hit_rate_features
 KEYS = ("run_id",)
 
 
-def channel(scans: DataFrame, peak_table: DataFrame, marker: str, target: float | None, ppm: float = 10, points: DataFrame | None = None) -> DataFrame:
+def channel(scans: DataFrame, peak_table: DataFrame, marker: str, target: float | None, ppm: float = 10, first_ppm: float = 20) -> DataFrame:
     """The signal of one marker: ``run_id, marker, index, time, data``; the total ion current where the marker has no mass."""
     base = scans.select("run_id", F.col("scan_index").alias("index"), F.col("scan_start_time").alias("time"), "tic")
     if target is None:
         return base.select("run_id", F.lit(marker).alias("marker"), "index", "time", F.col("tic").alias("data"))
     spectra = peak_table.withColumnRenamed("scan_index", "index")
-    found, _ = peaks.extract_channel_twice(base, spectra, target, ppm, keys=("run_id", "index"), order=("pos",))
+    found, _ = peaks.extract_channel_twice(base, spectra, target, ppm, first_ppm, keys=("run_id", "index"), order=("pos",))
     return found.select("run_id", F.lit(marker).alias("marker"), "index", "time", F.col("intensity").alias("data"))
 
 
-def extract_events(scans: DataFrame, peak_table: DataFrame, markers: Mapping[str, float | None], main: str = "", *, poor: Sequence[tuple] = (), offset: int = 1, k: float = 3, interval: int = 6, ppm: float = 10, size: int = 100, method: str = "mixture_spline") -> dict[str, DataFrame]:
+def extract_events(scans: DataFrame, peak_table: DataFrame, markers: Mapping[str, float | None], main: str = "", *, poor: Sequence[tuple] = (), offset: int = 1, k: float = 3, interval: int = 6, ppm: float = 10, size: int = 100, method: str = "mixture_spline", first_ppm: float = 20) -> dict[str, DataFrame]:
     """Cell events: ``signals`` (all markers), ``events`` by strategy, ``cells`` numbered in acquisition order.
 
     With several markers the cells are the main marker's events matched in every other one.
@@ -41,7 +41,7 @@ def extract_events(scans: DataFrame, peak_table: DataFrame, markers: Mapping[str
     hidden = peak_table if not poor else peak_table.join(scans.where(~signal.within_periods(F.col("scan_start_time"), poor)).select("run_id", "scan_index"), ["run_id", "scan_index"], "left_semi")
     signals, found = None, {}
     for name, target in markers.items():
-        one = channel(masked, hidden, name, target, ppm)
+        one = channel(masked, hidden, name, target, ppm, first_ppm)
         signals = one if signals is None else signals.unionByName(one)
         found[name] = signal.detect_events(one, ["run_id", "marker"], k, interval, size, method).select("run_id", "index")
     events = {m: e for m, e in found.items()}

@@ -22,9 +22,10 @@ def _acquisition(spark, sf):
 
 @query("extract_events")
 def extract_events(spark, sf):
-    scans, _ = _acquisition(spark, sf)
-    out = workflows.extract_events(scans, scans.limit(0).select("run_id", "scan_index"), {"TIC": None}, k=1, method="median")
-    return out["cells"].select("run_id", "scan_index", "cell")
+    """Events of the total ion current and of one mass, and what they have in common; tested on a fixture."""
+    scans, peak_table = _acquisition(spark, sf)
+    out = workflows.extract_events(scans, peak_table, {"TIC": None, "price": 30000.0}, "TIC", k=1, ppm=2000, first_ppm=4000, method="median")
+    return out["events"].select("run_id", "strategy", "scan_index")
 
 
 @query("cell_peaks")
