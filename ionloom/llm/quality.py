@@ -134,6 +134,12 @@ def _references(hists: DataFrame, min_chars: int, min_words: int) -> DataFrame:
     )
 
 
+def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_chars: int = 200, min_words: int = 60) -> DataFrame:
+    """The references of ``docs``, a row for each language that has a word list and one for the rest, to be stored and given to :func:`quality`."""
+    own = docs.select(F.lit(None).cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), F.struct(F.lit(1).alias("_")).alias("_row"))
+    return _references(_histograms(own), min_chars, min_words)
+
+
 def _ceiling(rest: Column) -> Column:
     """The word distance of a text without any common word, by the reference's share of other words."""
     return F.sqrt((1 - rest + F.log2(2 / (1 + rest)) + F.when(rest > 0, rest * F.log2(2 * rest / (1 + rest))).otherwise(0.0)) / 2)
@@ -163,6 +169,7 @@ def quality(
     most_class_distance: float = 0.3,
     most_word_share: float = 0.97,
     keep: tuple[str, ...] = (),
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Counts, distances and the verdict ``kept`` for each row of ``docs``.
 
@@ -173,12 +180,13 @@ def quality(
     any where no document is long enough to make a reference.  Texts of any length are judged whole; a
     distance at a threshold (a tie) passes.  Repeated rows and null ids each have
     their row; an empty table gives no rows; other columns are not read, but those in ``keep``, which
-    come along in a struct ``_row``.
+    come along in a struct ``_row``.  ``stored``: references made before (:func:`references`), in place
+    of those of ``docs``, which saves the pass over them.
     """
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     row = F.struct(*(docs[c] for c in keep), F.lit(1).alias("_"))
     hists = _histograms(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), lang.alias("lang"), row.alias("_row")))
-    refs = _references(hists, min_chars, min_words)
+    refs = _references(hists, min_chars, min_words) if stored is None else stored
     with_hashes = hists.select(
         "*",
         F.when(

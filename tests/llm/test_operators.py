@@ -117,6 +117,11 @@ def test_quality(awkward, rows):
     assert all(not r.kept for r in got if r.base_failed)
 
 
+def test_stored_references_give_the_same_verdicts(awkward):
+    rounded = lambda df: df.drop("class_distance", "word_distance").collect()  # noqa: E731  means are sums in any order
+    same(rounded(quality.quality(awkward)), rounded(quality.quality(awkward, stored=quality.references(awkward))))
+
+
 def test_divergence(spark):
     import math
 
