@@ -201,7 +201,10 @@ def nearest(
     """
     points = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
-    shards = max(1, -(-points.count() // shard_rows))
+    n = points.count()
+    # a small table still makes a shard for each shuffle partition, as long as shards are worth a tree
+    wide = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-n // shard_rows), min(wide, n // (32 * leaf)))
     points = points.mapInArrow(_collapse(k), "vec_id long, v array<double>")
     dealt = points.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "vec_id", "v")
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "v")
