@@ -8,6 +8,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +104,20 @@ def unsqueeze(payload: bytes) -> list[bytes]:
         out.append(raw[at : at + size])
         at += size
     return out
+
+
+def main_length(vectors: DataFrame, vector_col: str) -> int:
+    """The most common length of a table's non-empty vectors, the longer one of equally common lengths; 0 without any.  Runs at once."""
+    sizes = vectors.select(F.size(vector_col).alias("d")).where("d > 0").groupBy("d").count()
+    first = sizes.orderBy(F.desc("count"), F.desc("d")).first()
+    return first["d"] if first else 0
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector of doubles is there and none of its components is null or non-finite."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def matrix_of(column: pa.Array, width: int) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
