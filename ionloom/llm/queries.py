@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, vptree, whitening
+from . import bpe, hard_negatives, line_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, vptree, whitening
 from .common import read_table
 
 
@@ -63,12 +63,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whitened, by component."""
     return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op8_suffixes, op9_vptree, op10_secrets, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op8_suffixes, op9_vptree, op10_secrets, op12_hard_negatives, op13_whitening)}
 ORACLES: dict[str, str] = {
     "op1_lines": line_dedup.ORACLE,
     "op5_quality": quality.oracle(),
@@ -85,4 +92,17 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS r FROM pairs)
         SELECT query_id::BIGINT AS query_id, r::INTEGER AS rank, vec_id::BIGINT AS vec_id, score FROM ranked WHERE r <= 10
     """,
+    "op12_hard_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS y FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS alike, list_sum(list_transform(list_zip(a.y, b.y), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        positives AS (SELECT * FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+               n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY rank <= 3
+    """,
 }

@@ -25,8 +25,8 @@ def jacobi(matrix: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray
     """Eigenvalues, falling, and unit eigenvectors (columns, the largest entry positive) of a symmetric matrix.
 
     A sweep is a round-robin tournament: each round rotates disjoint pairs, so all of them at once, and
-    every pair meets once.  A pair is at rest when its entry is below the rounding of the product of its
-    diagonal entries; the sweeps end when all are.
+    every pair meets once.  A pair is at rest when its entry is below the rounding of the mean of its
+    diagonal entries (geometric); the sweeps end when all are.
     """
     a = np.array(matrix, dtype=np.float64)
     n = len(a)
@@ -47,7 +47,7 @@ def jacobi(matrix: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray
             real = (p < n) & (q < n)
             p, q = p[real], q[real]
             apq, app, aqq = a[p, q], a[p, p], a[q, q]
-            live = np.abs(apq) > np.maximum(eps * np.sqrt(np.abs(app * aqq)), floor)
+            live = np.abs(apq) > np.maximum(eps * np.sqrt(n * np.abs(app * aqq)), floor)
             if live.any():
                 turned += int(live.sum())
                 p, q, apq, app, aqq = p[live], q[live], apq[live], app[live], aqq[live]
