@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hard_negatives, line_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, vptree, whitening
+from . import bpe, hard_negatives, language, line_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, vptree, whitening
 from .common import read_table
 
 
@@ -63,6 +63,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.language_id(read_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth vector."""
     vectors = read_table(spark, sf_dir, "embeddings")
@@ -75,7 +80,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op8_suffixes, op9_vptree, op10_secrets, op12_hard_negatives, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_packing, op3_token_counts, op4_pii, op5_quality, op6_bpe, op7_simhash, op8_suffixes, op9_vptree, op10_secrets, op11_language, op12_hard_negatives, op13_whitening)}
 ORACLES: dict[str, str] = {
     "op1_lines": line_dedup.ORACLE,
     "op5_quality": quality.oracle(),
