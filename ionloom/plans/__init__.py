@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analyses, frames, matrices, signals, sources  # noqa: F401
+from . import analyses, frames, graphs, matrices, signals, sources  # noqa: F401
 from .catalogue import ORACLES, QUERIES, Query
 
 
