@@ -8,8 +8,9 @@ character by character, a base64 or compressed run maps as a whole, so what is f
 becomes a span of the text.
 
 Compressed data are inflated portion by portion, each a layer that begins with the end of the one
-before it, so a small text that holds a huge one needs no more memory than a few portions; nothing of
-it is left out.  The worklist holds one open layer for each depth.
+before it, so a small text that holds a huge one needs no more memory than a few portions and the
+longest encoded run or compressed data inside; nothing of it is left out.  The worklist holds one open
+layer for each depth.  An escape escaped over and over (``%252525...41``) is peeled at once.
 """
 
 from __future__ import annotations
@@ -40,9 +41,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs below 16 characters fail, and a run can't hold a match that starts later, so they are not matched at all.
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: An escape's first character escaped eight times over or more: one layer takes the whole chain off.
+DEEP_URL = r"%(?:25){8,}(?=[0-9A-Fa-f]{2})"
+DEEP_UNICODE = r"\\(?:u005[cC]|x5[cC]|u\{0{0,4}5[cC]\}|U0000005[cC]){8,}(?=[uxU])|&(?:#0{0,5}38;|#[xX]0{0,4}26;){8,}(?=#)"
+URL = re.compile(DEEP_URL + r"|(?:%[0-9A-Fa-f]{2})+")
+UNICODE = re.compile(DEEP_UNICODE + r"|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: Runs too short for a secret, but not for compressed data that hold one.
+SHORT = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{6,15}+(?![A-Za-z0-9+/_-])")
+#: What encoded runs are made of, with the line breaks inside them.
+_ENCODED = bytes(sorted(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%&#;{}\\\r\n\t "))
 #: Base64 over several lines; the last may be short.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)++[A-Za-z0-9+/_-]++={0,2}")
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -65,9 +73,12 @@ def find(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-#: Bytes of inflated data in a layer, and how many of them the next layer repeats.  A secret or an
-#: encoded run inside inflated data that is longer than the repeated part is seen in pieces.
+#: Bytes of inflated data in a layer, and how many of them the next layer repeats at least: more, where an
+#: encoded run or compressed data begin before that and go on.  All of inflated data stands for one span, so
+#: a longer secret is found by its pieces.
 PORTION, OVERLAP = 4 << 20, 1 << 18
+#: Bytes that are fed to an inflater at once; where one fails, what it gave before is kept.
+FEED = 4096
 
 
 class Layer:
@@ -117,20 +128,42 @@ def _members(raw: memoryview) -> Iterator[tuple[bytes, int]]:
 
 
 def _portions(member, raw: memoryview, base: int) -> Iterator[tuple[bytes, int]]:
-    """One member's portions; returns where it ends, or None if it is broken."""
-    rest: bytes | memoryview = raw
-    while True:
+    """One member's portions; returns where it ends, or None if it breaks off or is broken."""
+    for lo in range(0, len(raw), FEED):
+        rest: bytes | memoryview = raw[lo : lo + FEED]
+        spare = member.copy() if hasattr(member, "copy") else None
+        gave = 0
         try:
-            part = member.decompress(rest, PORTION)
+            while True:
+                part = member.decompress(rest, PORTION)
+                if part:
+                    gave += len(part)
+                    yield part, base
+                if member.eof:
+                    return base + min(lo + FEED, len(raw)) - len(member.unused_data)
+                rest = getattr(member, "unconsumed_tail", b"")
+                if not rest and (len(part) < PORTION or getattr(member, "needs_input", True)):
+                    break
         except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+            yield from _rest_of_broken(spare, raw[lo : lo + FEED], gave, base)
             return None
-        if part:
-            yield part, base
-        if member.eof:
-            return base + len(raw) - len(member.unused_data)
-        rest = getattr(member, "unconsumed_tail", b"")
-        if not part and (not rest and getattr(member, "needs_input", True)):
-            return None
+    return None
+
+
+def _rest_of_broken(member, fed: memoryview, gave: int, base: int) -> Iterator[tuple[bytes, int]]:
+    """What an inflater gives of bytes at which it fails, byte by byte, beyond what it ``gave`` already."""
+    if member is None:
+        return
+    try:
+        for i in range(len(fed)):
+            rest: bytes | memoryview = fed[i : i + 1]
+            while rest:
+                part, rest = member.decompress(rest, PORTION), member.unconsumed_tail
+                if part[gave:]:
+                    yield part[gave:], base
+                gave = max(0, gave - len(part))
+    except (OSError, EOFError, zlib.error, ValueError):
+        return
 
 
 def _layers_of(raw: bytes) -> Iterator[str]:
@@ -145,23 +178,61 @@ def _layers_of(raw: bytes) -> Iterator[str]:
                 yield raw[: len(raw) // 2 * 2].decode(name, "replace")
 
 
+def _open_start(held: bytes) -> int:
+    """Where what must be seen together with what follows begins: an encoded run at the end, compressed data that haven't ended, or the last OVERLAP bytes."""
+    at = len(held) - OVERLAP
+    at = max(0, min(at, len(held.rstrip(_ENCODED))))
+    found = 0
+    while (m := COMPRESSED.search(held, found)) is not None and m.start() < at:
+        found, ended = m.start() + 1, None
+        try:
+            for magic, make in (*OPENERS, (b"", zlib.decompressobj)):
+                if held.startswith(magic, m.start()):
+                    member, lo = make(), m.start()
+                    while not member.eof and lo < len(held):
+                        rest: bytes = held[lo : lo + FEED]
+                        lo += FEED
+                        while rest or not getattr(member, "needs_input", True):
+                            member.decompress(rest, PORTION)
+                            rest = getattr(member, "unconsumed_tail", b"")
+                            if member.eof:
+                                break
+                    ended = min(lo, len(held)) - len(member.unused_data) if member.eof else None
+                    break
+        except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+            continue
+        if ended is None:
+            return m.start()
+        found = max(found, ended)
+    return at
+
+
 def _windows(parts: Iterator[bytes]) -> Iterator[bytes]:
-    """Portions as pieces of bounded size, each of which repeats the end of the one before."""
-    held, fresh = b"", False
+    """Portions as pieces, each of which repeats the end of the one before (:func:`_open_start`).
+
+    A piece is longer than a portion only where what began in it must be seen whole.
+    """
+    held, fresh, most = bytearray(), False, PORTION
     for part in parts:
-        held, fresh = held + part, True
-        while len(held) >= PORTION:
-            yield held[:PORTION]
-            held, fresh = held[PORTION - OVERLAP :], len(held) > PORTION
+        held += part
+        fresh = True
+        if len(held) >= most:
+            whole = bytes(held)
+            start = _open_start(whole)
+            if start < len(whole) // 2:
+                most = 2 * len(whole)
+                continue
+            yield whole
+            held, fresh, most = bytearray(whole[start:]), False, max(PORTION, 2 * (len(whole) - start))
     if fresh:
-        yield held
+        yield bytes(held)
 
 
 def _inflated(raw: bytes, span) -> Iterator[Layer]:
     """Layers of the compressed data anywhere in ``raw``; ``span(i, j)`` is where its bytes come from.
 
-    The data are read twice, first for where they end.  Data that are broken off count as far as they
-    go, from one portion on; below that they are taken for something else.
+    The data are read twice, first for where they end.  Data that break off or are broken count as far as they
+    go and stand for all that follows; what follows is looked through all the same.
     """
     at = 0
     while (m := COMPRESSED.search(raw, at)) is not None:
@@ -170,20 +241,21 @@ def _inflated(raw: bytes, span) -> Iterator[Layer]:
         for part, read in _members(view):
             size += len(part)
             last = last if part else read
-        if last is None and size < PORTION:
+        if not size:
             continue
         end = len(raw) if last is None else m.start() + last
         for held in _windows(part for part, _ in _members(view) if part):
             yield from _opened(held, *span(m.start(), end))
-        at = max(at, end)
+        if last is not None:
+            at = max(at, end)
 
 
 def _opened(raw: bytes, a: int, b: int) -> Iterator[Layer]:
     """Unwrapped bytes as layers, and the compressed data in them."""
-    if len(raw) >= 16:  # less holds no secret, and no compressed one
+    if len(raw) >= 6:  # less is too short for a secret and for an encoded run
         for text in _layers_of(raw):
             yield Layer(text, a, b)
-        yield from _inflated(raw, lambda i, j: (a, b))
+    yield from _inflated(raw, lambda i, j: (a, b))
 
 
 def _headless(raw: bytes, a: int, b: int) -> Iterator[Layer]:
@@ -198,12 +270,12 @@ def _headless(raw: bytes, a: int, b: int) -> Iterator[Layer]:
             raise zlib.error("not a whole stream")
 
     try:
-        size = sum(map(len, parts()))
+        if not sum(map(len, parts())):
+            return
     except zlib.error:
         return
-    if size >= 16:  # less holds no secret
-        for held in _windows(parts()):
-            yield from _opened(held, a, b)
+    for held in _windows(parts()):
+        yield from _opened(held, a, b)
 
 
 def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
@@ -229,7 +301,8 @@ def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
             to.extend([b] * len(data))
 
         for m in pattern.finditer(layer.text, line.start(), line.end()):
-            pieces = decode(m[0])
+            deep = len(m[0]) > 12 and m[0].count(m[0][0]) == 1 and not (m[0][0] == "%" and len(m[0]) == 3)
+            pieces = [(0, len(m[0]), m[0][0])] if deep else decode(m[0])
             if pieces is None:
                 continue
             keep(at, m.start())
@@ -240,7 +313,9 @@ def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
                 ends += [b] * len(new)
                 if pattern is not URL:
                     put(new.encode("latin-1" if new < "\u0100" else "utf-8", "surrogatepass"), a, b)
-            if pattern is URL:
+            if pattern is URL and deep:
+                put(b"%", *layer.span(m.start(), m.end()))
+            elif pattern is URL:
                 for k, byte in enumerate(unquote_to_bytes(m[0])):
                     put(bytes((byte,)), *layer.span(m.start() + 3 * k, m.start() + 3 * k + 3))
             at = m.end()
@@ -275,6 +350,15 @@ def _unicode(escape: str) -> list[tuple[int, int, str]] | None:
 def _base64(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
         yield from _decoded(m[0], *layer.span(m.start(), m.end()))
+    fresh = {run for run in SHORT.findall(layer.text) if run not in _BARREN}
+    laden = {run for run in fresh if _may_inflate(run)}
+    if len(_BARREN) + len(fresh) > 1 << 19:
+        _BARREN.clear()
+    _BARREN.update(fresh - laden)
+    if laden:
+        for m in SHORT.finditer(layer.text):
+            if m[0] in laden:
+                yield from _decoded(m[0], *layer.span(m.start(), m.end()))
     if "\n" not in layer.text:
         return
     for m in WRAPPED.finditer(layer.text):
@@ -292,7 +376,11 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             at = stop
 
 
-def _decoded(run: str, a: int, b: int) -> Iterator[Layer]:
+#: Short runs in which no start inflates, so that a common word is tried once; emptied when full.
+_BARREN: set[str] = set()
+
+
+def _starts(run: str) -> Iterator[bytes]:
     """A run decoded from each of four starts, as other characters of the alphabet (a path's, say) may stand before the data."""
     run = run.rstrip("=").translate(_URLSAFE)
     for skip in range(4):
@@ -300,9 +388,28 @@ def _decoded(run: str, a: int, b: int) -> Iterator[Layer]:
         if len(own) < 4:
             return
         try:
-            raw = binascii.a2b_base64(own + "=" * (-len(own) % 4))
+            yield binascii.a2b_base64(own + "=" * (-len(own) % 4))
         except (binascii.Error, ValueError):
             continue
+
+
+def _may_inflate(run: str) -> bool:
+    """Whether a short run may hold compressed data: a header in it, or a deflate stream from one of its starts (of literal or fixed codes, as no deflater writes codes of its own into so few bytes)."""
+    for raw in _starts(run):
+        if COMPRESSED.search(raw):
+            return True
+        if raw[0] & 6 == 2 or raw[0] & 6 == 0 and len(raw) > 5 and raw[1] ^ raw[3] == raw[2] ^ raw[4] == 255:
+            try:
+                member = zlib.decompressobj(-15)
+                if member.decompress(raw, 64) and (member.eof or member.unconsumed_tail):
+                    return True
+            except zlib.error:
+                pass
+    return False
+
+
+def _decoded(run: str, a: int, b: int) -> Iterator[Layer]:
+    for raw in _starts(run):
         yield from _opened(raw, a, b)
         yield from _headless(raw, a, b)
 
