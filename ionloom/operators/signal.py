@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import corrected_signal
+from .quantiles import exact_quantiles
 
 
 def blocks(df: DataFrame, keys: Sequence[str], size: int = 100, index: str = "index") -> DataFrame:
@@ -133,7 +134,7 @@ def with_signal(df: DataFrame, data: str = "data") -> DataFrame:
 
 def trimmed_threshold(df: DataFrame, keys: Sequence[str], value: str = "signal", k: float = 5) -> DataFrame:
     """``threshold`` of each series: mean and ``k`` population deviations of what lies from the 5th to the 95th percentile."""
-    ends = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("_ends"))
+    ends = exact_quantiles(df, keys, value, [0.05, 0.95], "_ends")
     inside = df.join(ends, list(keys)).where((F.col(value) >= F.col("_ends")[0]) & (F.col(value) <= F.col("_ends")[1]))
     return inside.groupBy(*keys).agg((F.avg(value) + F.lit(float(k)) * F.stddev_pop(value)).alias("threshold"))
 

@@ -47,11 +47,12 @@ def stream_sessions(spark, sf):
     "cell_feature_table",
     """WITH o AS (SELECT s_suppkey AS cell, 'Cell' || lpad((row_number() OVER (ORDER BY s_acctbal, s_suppkey))::VARCHAR, 5, '0') AS name FROM supplier),
        m AS (SELECT l_suppkey AS cell, l_returnflag AS feature, max(l_quantity) AS v FROM lineitem GROUP BY ALL),
-       p AS (SELECT feature, name, v FROM o LEFT JOIN m USING (cell))
-       SELECT * FROM (PIVOT p ON name USING max(v) GROUP BY feature) WHERE feature IS NOT NULL""",
+       f AS (SELECT DISTINCT feature FROM m)
+       SELECT f.feature, o.name, m.v AS value FROM f CROSS JOIN o LEFT JOIN m ON m.feature = f.feature AND m.cell = o.cell""",
 )
 def cell_feature_table(spark, sf):
     obs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_acctbal").alias("scan_start_time"))
     matrix = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_returnflag").alias("feature")).agg(F.max("l_quantity").alias("value"))
     var = matrix.select("feature").distinct()
-    return tables.cell_feature_table(matrix, obs, var)
+    wide = tables.cell_feature_table(matrix, obs, var)  # a column a cell; a row each here, which a fixed SQL can state
+    return wide.unpivot(["feature"], [c for c in wide.columns if c != "feature"], "name", "value")
