@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import logistic
 from .matrix import percentile_rank
+from .storage import Step
 
 
 def covariance(df: DataFrame, vector: str = "v") -> tuple[np.ndarray, np.ndarray, int]:
@@ -67,6 +68,71 @@ def pca(df: DataFrame, k: int = 50, id_col: str = "cell", vector: str = "v", zer
     return {"scores": scores, "loadings": loadings, "variance": spread, "variance_ratio": spread / total}
 
 
+def _factor(rows: np.ndarray, rank: int) -> np.ndarray:
+    """At most ``rank`` rows with the same leading singular values and right vectors."""
+    if len(rows) <= rank and len(rows) <= rows.shape[1]:
+        return rows
+    _, s, vt = np.linalg.svd(rows, full_matrices=False)
+    return (s[:, None] * vt)[:rank]
+
+
+def _factors(mean: np.ndarray, rank: int, block_rows: int):
+    def run(batches):
+        held, n = np.zeros((0, len(mean))), 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(mean))
+            for at in range(0, len(x), block_rows):
+                held, n = _factor(np.concatenate([held, x[at : at + block_rows] - mean]), rank), n + 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.list_(pa.float64()))], names=["row"])
+
+    return run
+
+
+def _merged(rank: int):
+    def run(key, table):
+        rows = _factor(np.array(table.column("row").to_pylist()), rank)
+        return pa.table({"part": pa.array(np.full(len(rows), key[0].as_py())), "row": pa.array(list(rows), pa.list_(pa.float64()))})
+
+    return run
+
+
+def pca_by_blocks(df: DataFrame, k: int = 50, id_col: str = "cell", vector: str = "v", rank: int | None = None, block_rows: int = 1024, fan: int = 8) -> dict:
+    """The components of :func:`pca`, from block factors that are merged, without a covariance matrix anywhere.
+
+    Each task reduces its rows, ``block_rows`` at a time, to at most ``rank`` rows with the same right
+    singular vectors; the tasks' factors are merged ``fan`` at a time, in rounds.  The driver gets the ``k``
+    components.  With the whole ``rank`` (without it) the result is exact; a smaller one keeps the leading
+    directions of every merge, which is what makes vectors too wide for a square matrix possible.
+    """
+    own = df.select(F.col(vector).cast("array<double>").alias("v"))
+    stats = own.select(array_to_vector("v").alias("_v")).select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).select("s.*").first()
+    mean, n = np.array(stats["mean"].toArray()), int(stats["count"])
+    width = len(mean)
+    rank = min(rank or width, width)
+    parts = Step(own.mapInArrow(_factors(mean, rank, block_rows), "row array<double>").withColumn("part", F.spark_partition_id().cast("long")).select("part", "row"))
+    while parts.df.select("part").distinct().count() > 1:
+        # parts are numbered anew, so that each merge has as many as it can
+        number = parts.df.select("part").distinct().withColumn("to", F.floor((F.row_number().over(Window.orderBy("part")) - 1) / fan).cast("long"))
+        stacked = parts.df.join(F.broadcast(number), "part").select(F.col("to").alias("part"), "row")
+        merged = Step(stacked.groupBy("part").applyInArrow(_merged(rank), "part long, row array<double>"))
+        parts.drop()
+        parts = merged
+
+    def last(key, table):
+        _, s, vt = np.linalg.svd(np.array(table.column("row").to_pylist()), full_matrices=False)
+        most = min(k, len(s), width, max(1, n - 1))
+        return pa.table({"place": pa.array(np.arange(most)), "s": pa.array(s[:most]), "axis": pa.array(list(vt[:most]), pa.list_(pa.float64()))})
+
+    rows = parts.df.groupBy("part").applyInArrow(last, "place long, s double, axis array<double>").orderBy("place").collect()
+    parts.drop()
+    loadings = np.array([r["axis"] for r in rows]).T
+    loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(len(rows))])
+    spread = np.array([r["s"] for r in rows]) ** 2 / max(1, n - 1)
+    total = float(np.sum(stats["variance"].toArray()))
+    return {"scores": _projected(df, id_col, vector, mean, loadings), "loadings": loadings, "variance": spread, "variance_ratio": spread / total}
+
+
 def kmeans_labels(df: DataFrame, k: int = 2, seed: int = 42, vector: str = "pcs") -> DataFrame:
     """``cluster``: k-means labels as strings."""
     data = df.withColumn("_v", array_to_vector(F.col(vector)))
@@ -108,29 +174,91 @@ def correlations(means: np.ndarray, method: str = "pearson") -> np.ndarray:
 
 
 def linkage(distance: np.ndarray, method: str = "complete") -> tuple[np.ndarray, list[int]]:
-    """Agglomerative merges (a, b, height, size) and the leaves in tree order."""
+    """Agglomerative merges (a, b, height, size) by rising height, and the leaves in tree order.
+
+    A chain of nearest neighbours ends in a pair that is nearest to each other, which for these methods can be
+    merged at once, whatever else is: time and memory go with the square of the number of leaves.
+    """
+    n = len(distance)
+    d = np.array(distance, float)
+    np.fill_diagonal(d, np.inf)
+    size, live, chain, made = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(live)[0])]
+        while True:
+            row = d[chain[-1]]
+            near = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+                break
+            chain.append(near)
+        b, a = chain.pop(), chain.pop()
+        a, b = min(a, b), max(a, b)
+        made.append((a, b, d[a, b]))
+        u, v = d[a], d[b]
+        d[a] = d[:, a] = {"complete": np.maximum(u, v), "single": np.minimum(u, v), "average": (size[a] * u + size[b] * v) / (size[a] + size[b])}[method]
+        d[a, a], size[a], live[b] = np.inf, size[a] + size[b], False
+        d[b] = d[:, b] = np.inf
+    # places stand for the clusters they are in at that height
+    name, count, leaves, out = list(range(n)), [1] * n, {i: [i] for i in range(n)}, []
+    for new, (a, b, h) in enumerate(sorted(made, key=lambda m: m[2]), n):
+        x, y = sorted((name[a], name[b]))
+        count[a] = count[b] = count[a] + count[b]
+        name[a] = name[b] = new
+        leaves[new] = leaves.pop(x) + leaves.pop(y)
+        out.append((x, y, h, count[a]))
+    return np.array(out), next(iter(leaves.values()), [])
+
+
+def optimal_order(merges: np.ndarray, distance: np.ndarray) -> list[int]:
+    """Of all orders of the leaves that the tree allows, the one with the least sum of distances between neighbours (Bar-Joseph, Gifford and Jaakkola 2001).
+
+    For every cluster, the least sum with each pair of leaves at its ends, from those of its two parts.
+    """
     n = len(distance)
-    d = {(i, j): float(distance[i, j]) for i in range(n) for j in range(i + 1, n)}
-    size, leaves, live, out = {i: 1 for i in range(n)}, {i: [i] for i in range(n)}, list(range(n)), []
-    for new in range(n, 2 * n - 1):
-        a, b = min(((i, j) for x, i in enumerate(live) for j in live[x + 1 :]), key=lambda p: (d[min(p), max(p)], p))
-        h = d[min(a, b), max(a, b)]
-        live = [x for x in live if x not in (a, b)]
-        for x in live:
-            u, v = d[min(a, x), max(a, x)], d[min(b, x), max(b, x)]
-            d[x, new] = {"complete": max(u, v), "single": min(u, v), "average": (size[a] * u + size[b] * v) / (size[a] + size[b])}[method]
-        size[new], leaves[new] = size[a] + size[b], leaves[a] + leaves[b]
-        live.append(new)
-        out.append((a, b, h, size[new]))
-    return np.array(out), leaves[live[0]] if live else []
-
-
-def dendrogram(df: DataFrame, by: str, vector: str = "v", cor: str = "pearson", method: str = "complete") -> dict:
-    """Groups' mean vectors, their correlation, linkage and leaf order; one vector per group comes to the driver."""
+    if n < 2:
+        return list(range(n))
+    leaves = {i: np.array([i]) for i in range(n)}
+    best: dict[int, np.ndarray] = {i: np.zeros((1, 1)) for i in range(n)}  # rows: one end, columns: the other
+    parts: dict[int, tuple[int, int]] = {}
+
+    def least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.stack([(row[:, None] + y).min(axis=0) for row in x])
+
+    for new, (a, b, *_) in enumerate(merges, n):
+        a, b = int(a), int(b)
+        across = least(least(best[a], distance[np.ix_(leaves[a], leaves[b])]), best[b])
+        whole = np.full((len(leaves[a]) + len(leaves[b]),) * 2, np.inf)
+        whole[: len(leaves[a]), len(leaves[a]) :] = across
+        whole[len(leaves[a]) :, : len(leaves[a])] = across.T
+        leaves[new], best[new], parts[new] = np.concatenate([leaves[a], leaves[b]]), whole, (a, b)
+
+    def order(node: int, i: int, j: int) -> list[int]:
+        """The leaves of a cluster from its i-th to its j-th."""
+        if node < n:
+            return [node]
+        a, b = parts[node]
+        if i >= len(leaves[a]):
+            return order(node, j, i)[::-1]
+        j -= len(leaves[a])
+        joined = best[a][i][:, None] + distance[np.ix_(leaves[a], leaves[b])] + best[b][:, j][None, :]
+        m, k = np.unravel_index(int(joined.argmin()), joined.shape)
+        return order(a, i, int(m)) + order(b, int(k), j)
+
+    top = n + len(merges) - 1
+    i, j = np.unravel_index(int(best[top].argmin()), best[top].shape)
+    found = order(top, int(i), int(j))
+    return found if found[0] < found[-1] else found[::-1]
+
+
+def dendrogram(df: DataFrame, by: str, vector: str = "v", cor: str = "pearson", method: str = "complete", optimal: bool = False) -> dict:
+    """Groups' mean vectors, their correlation, linkage and leaf order (with ``optimal`` the one whose neighbours are nearest); one vector per group comes to the driver."""
     rows = df.groupBy(by).agg(Summarizer.mean(array_to_vector(F.col(vector))).alias("m")).orderBy(by).collect()
     means = np.array([r["m"].toArray() for r in rows])
     corr = correlations(means, cor)
     merges, leaves = linkage(1 - corr, method)
+    if optimal:
+        leaves = optimal_order(merges, 1 - corr)
     return {"categories": [r[by] for r in rows], "correlation": corr, "linkage": merges, "order": [rows[i][by] for i in leaves]}
 
 

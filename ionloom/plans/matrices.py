@@ -404,6 +404,11 @@ def pca_scores(spark, sf):
     return ml.pca(_vectors(spark, sf), 5)["scores"]
 
 
+@query("pca_blocks")
+def pca_blocks(spark, sf):
+    return ml.pca_by_blocks(_vectors(spark, sf), 5)["scores"]
+
+
 @query("pca_variance")
 def pca_variance(spark, sf):
     out = ml.pca(_vectors(spark, sf), 5)
@@ -436,6 +441,12 @@ def dendrogram_order(spark, sf):
     return spark.createDataFrame([(i, int(x)) for i, x in enumerate(out["order"])], "position int, label int")
 
 
+@query("dendrogram_optimal")
+def dendrogram_optimal(spark, sf):
+    out = ml.dendrogram(_vectors(spark, sf), "label", optimal=True)
+    return spark.createDataFrame([(i, int(x)) for i, x in enumerate(out["order"])], "position int, label int")
+
+
 @query("neighbour_graph", f"""WITH {VECTORS_SQL}, d AS (SELECT a.cell AS src, b.cell AS dst, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS distance FROM m a JOIN m b ON a.feature = b.feature AND a.cell <> b.cell GROUP BY ALL)
     SELECT src, dst, {fixed_sql("distance", 6)} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS r FROM d) WHERE r <= 5""")
 def neighbour_graph(spark, sf):
