@@ -45,3 +45,30 @@ def order_by_direction(left: DataFrame, right: DataFrame, p: DataFrame) -> DataF
     sided = met.withColumn("side", side).where("side is not null").withColumn("_p", F.coalesce("pval_adj", F.lit(float("inf"))))
     order = Window.orderBy("side", F.when(F.col("side") == "left", F.col("_p")).otherwise(-F.col("_p")), "metabolite")  # metabolites are few
     return sided.withColumn("position", F.row_number().over(order)).drop("_p")
+
+
+def dual_branch(left: DataFrame, right: DataFrame, order: DataFrame, p: DataFrame, value: str = "stat", sizes: tuple[float, float] = (20.0, 300.0)) -> DataFrame:
+    """Points of a trend over two branches: ``branch, metabolite, x, y, z, size, label``.
+
+    ``left`` and ``right`` are tables of ``bin, metabolite, frac`` and ``value``; ``order`` has ``metabolite, position``
+    and ``p`` ``metabolite, pval_adj``.  Metabolites that both branches and the order have stand at ``x`` from
+    0; the left branch goes up, the right one down.  ``z`` is the z-score over both branches of a metabolite,
+    nulls passed over, 0 without spread; ``size`` goes with the share over the greatest one of all points
+    (a null share is none); ``label`` is the name with its p, where there is one.
+    """
+    fields = ["bin", "metabolite", "frac", value]
+    both = left.select(F.lit("left").alias("branch"), *fields).unionByName(right.select(F.lit("right").alias("branch"), *fields))
+    named = left.select("metabolite").distinct().join(right.select("metabolite").distinct(), "metabolite").join(order.select("metabolite", "position"), "metabolite")
+    placed = named.withColumn("x", F.row_number().over(Window.orderBy("position", "metabolite")) - 1)  # metabolites are few
+    w = Window.partitionBy("metabolite")
+    v = F.col(value)
+    met = both.join(placed, "metabolite").join(p.groupBy("metabolite").agg(F.min("pval_adj").alias("_p")), "metabolite", "left")
+    spread = F.stddev_pop(v).over(w)
+    z = F.when(F.coalesce(spread, F.lit(0.0)) > 0, (v - F.avg(v).over(w)) / spread).otherwise(F.lit(0.0))
+    share = F.coalesce("frac", F.lit(0.0))
+    most = met.agg(F.max(share).alias("_most"))
+    scored = met.withColumn("z", z).crossJoin(F.broadcast(most))  # one row
+    size = F.lit(float(sizes[0])) + F.when(F.col("_most") > 0, F.lit(float(sizes[1] - sizes[0])) * share / F.col("_most")).otherwise(F.lit(0.0))
+    label = F.when(F.col("_p").isNull() | F.isnan("_p"), F.col("metabolite")).otherwise(F.format_string("%s (%.2E)", "metabolite", "_p"))
+    y = F.when(F.col("branch") == "left", F.col("bin")).otherwise(-F.col("bin"))
+    return scored.select("branch", "metabolite", F.col("x").cast("int").alias("x"), y.cast("long").alias("y"), "z", size.alias("size"), label.alias("label"))

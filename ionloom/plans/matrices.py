@@ -392,6 +392,26 @@ def order_by_direction(spark, sf):
     return out.select("metabolite", "side", "position")
 
 
+@query(
+    "dual_branch_trend",
+    f"""WITH long AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'left' ELSE 'right' END AS branch, event_id / 40.0::DOUBLE AS pseudotime, event_type AS metabolite, round(value * 100)::BIGINT::DOUBLE AS value FROM events),
+        binned AS (SELECT branch, (floor(pseudotime / 50) * 50)::BIGINT AS bin, metabolite, avg(value) AS stat, avg(CASE WHEN value > 5000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS frac FROM long WHERE metabolite <> 'signup' GROUP BY ALL),
+        grid AS (SELECT * FROM (SELECT DISTINCT branch, bin FROM binned) CROSS JOIN (SELECT metabolite, (row_number() OVER (ORDER BY metabolite DESC) - 1)::INTEGER AS x FROM (SELECT DISTINCT metabolite FROM binned))),
+        t AS (SELECT * FROM grid LEFT JOIN binned USING (branch, bin, metabolite))
+        SELECT branch, metabolite, x, CASE WHEN branch = 'left' THEN bin ELSE -bin END AS y, {fixed_sql('coalesce((stat - avg(stat) OVER w) / nullif(stddev_pop(stat) OVER w, 0), 0)', 6)} AS z,
+               {fixed_sql('20 + 280 * coalesce(frac, 0) / max(frac) OVER ()', 6)} AS size, metabolite || ' (1.00E-02)' AS label FROM t WINDOW w AS (PARTITION BY metabolite)""",
+)
+def dual_branch_trend(spark, sf):
+    long = table(spark, sf, "events").select(
+        F.when(F.col("user_id") % 2 == 0, "left").otherwise("right").alias("branch"), F.col("user_id").alias("cell"), (F.col("event_id") / F.lit(40.0)).alias("pseudotime"), F.col("event_type").alias("metabolite"), F.round(F.col("value") * 100).alias("value")
+    )
+    sig = long.select("metabolite").distinct().withColumn("pval_adj", F.when(F.col("metabolite") == "signup", 0.2).otherwise(0.01))
+    sides = [pseudotime.dot_table(long, sig, b, 50, 5000) for b in ("left", "right")]
+    order = sig.select("metabolite", (-F.ascii(F.substring("metabolite", 1, 1)) * 256 - F.ascii(F.substring("metabolite", 2, 1))).alias("position"))
+    out = pseudotime.dual_branch(*sides, order, sig)
+    return out.withColumn("z", fixed(F.coalesce("z", F.lit(0.0)), 6)).withColumn("size", fixed(F.col("size"), 6))
+
+
 # models
 
 

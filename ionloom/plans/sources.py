@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..sources import tables
+from ..operators.storage import step_folder
+from ..sources import tables, workbooks
 from ..streaming import signals as streams
 from .catalogue import query
 from .roles import table
@@ -56,3 +59,11 @@ def cell_feature_table(spark, sf):
     var = matrix.select("feature").distinct()
     wide = tables.cell_feature_table(matrix, obs, var)  # a column a cell; a row each here, which a fixed SQL can state
     return wide.unpivot(["feature"], [c for c in wide.columns if c != "feature"], "name", "value")
+
+
+@query("workbook_table", "SELECT s_suppkey::DOUBLE AS s_suppkey, s_name, s_acctbal::DOUBLE AS s_acctbal FROM supplier")
+def workbook_table(spark, sf):
+    """All suppliers through spreadsheets and back."""
+    folder = f"{step_folder(spark)}/{uuid.uuid4().hex}.xlsx"
+    tables.write(table(spark, sf, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal")), folder)
+    return workbooks.read_workbooks(spark, folder).drop("file_name")

@@ -34,8 +34,8 @@ class Config:
             v = getattr(self, name)
             if not isinstance(v, (int, float)) or isinstance(v, bool) or v <= 0:
                 raise ValueError(f"{name} must be a number above 0")
-        if self.save_file_type not in ("csv", "parquet", "tsv"):
-            raise ValueError("save_file_type must be csv, tsv or parquet")
+        if self.save_file_type not in ("csv", "parquet", "tsv", "xlsx"):
+            raise ValueError("save_file_type must be csv, tsv, xlsx or parquet")
         if not self.cell_marker:
             raise ValueError("cell_marker is empty")
         self.main_cell_marker = main_marker(self.cell_marker, self.main_cell_marker)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranges import running
+from .workbooks import read_workbooks, write_workbooks
 
 
 def file_name() -> Column:
@@ -20,9 +21,12 @@ def file_name() -> Column:
 
 
 def read_batches(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """All CSV or Parquet files of a directory with ``batch``, the file's name without extension and ``prefix``."""
-    if re.search(r"\.xlsx?$", path, re.I):
-        raise ValueError("spreadsheets need to be saved as CSV or Parquet first")
+    """All CSV, Parquet or .xlsx files of a directory with ``batch``, the file's name without extension and ``prefix``; of which kind they are, the path's end says."""
+    if re.search(r"\.xls$", path, re.I):
+        raise ValueError("old binary spreadsheets need to be saved as .xlsx, CSV or Parquet first")
+    if re.search(r"\.xlsx$", path, re.I):
+        stem = F.regexp_extract("file_name", r"^(.*?)(\.[^.]+)?$", 1)
+        return read_workbooks(spark, path).withColumn("batch", F.regexp_replace(stem, "^" + re.escape(prefix), "")).drop("file_name")
     kind = "parquet" if path.rstrip("/*").endswith("parquet") else "csv"
     reader = spark.read.option("header", "true").option("inferSchema", "true") if kind == "csv" else spark.read
     name = F.regexp_extract(file_name(), r"^(.*?)(\.[^.]+)?$", 1)
@@ -60,12 +64,12 @@ def cell_feature_table(matrix: DataFrame, obs: DataFrame, var: DataFrame, var_co
 
 
 def read_library(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
-    """A library (of metabolites, markers or colours) from CSV, TSV or Parquet, its columns renamed by ``columns``; those named must be there."""
+    """A library (of metabolites, markers or colours) from CSV, TSV, .xlsx or Parquet, its columns renamed by ``columns``; those named must be there."""
     kind = path.rsplit(".", 1)[-1].lower()
-    if kind not in ("csv", "tsv", "parquet"):
-        raise ValueError(f"can't read {kind}; use csv, tsv or parquet")
+    if kind not in ("csv", "tsv", "parquet", "xlsx"):
+        raise ValueError(f"can't read {kind}; use csv, tsv, xlsx or parquet")
     text = spark.read.option("header", "true").option("inferSchema", "true").option("sep", "\t" if kind == "tsv" else ",")
-    df = spark.read.parquet(path) if kind == "parquet" else text.csv(path)
+    df = spark.read.parquet(path) if kind == "parquet" else read_workbooks(spark, path).drop("file_name") if kind == "xlsx" else text.csv(path)
     if gone := [c for c in columns or {} if c not in df.columns]:
         raise KeyError(f"not among the columns: {gone}")
     return df.withColumnsRenamed(columns or {})
@@ -87,15 +91,17 @@ class RunLog(logging.Handler):
 
 
 def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write by extension: .csv, .tsv or .parquet."""
+    """Write by extension: .csv, .tsv, .xlsx (a folder of such files) or .parquet."""
     kind = path.rsplit(".", 1)[-1].lower()
     writer = df.write.mode(mode)
     if kind == "parquet":
         writer.parquet(path)
     elif kind in ("csv", "tsv"):
         writer.option("header", "true").option("sep", "\t" if kind == "tsv" else ",").csv(path)
+    elif kind == "xlsx":
+        write_workbooks(df, path, mode)
     else:
-        raise ValueError(f"can't write {kind}; use csv, tsv or parquet")
+        raise ValueError(f"can't write {kind}; use csv, tsv, xlsx or parquet")
 
 
 def annotations(files: DataFrame, markers: DataFrame | None = None, colors: DataFrame | None = None, name: str = "filename") -> DataFrame:

@@ -137,7 +137,7 @@ def test_dataset_and_sinks(spark, tmp_path):
     assert tables.Dataset.load(spark, str(tmp_path / "d"), ["t"]).tables["t"].count() == 3
     tables.write(df, str(tmp_path / "o.tsv"))
     with pytest.raises(ValueError, match="can't write"):
-        tables.write(df, "x.xlsx")
+        tables.write(df, "x.xls")
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "Group info_k1.csv").write_text("CellNumber,Group\nCell1,x\n")
     assert tables.read_batches(spark, str(tmp_path / "b"), "Group info_").first().batch == "k1"

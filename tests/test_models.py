@@ -85,3 +85,19 @@ def test_blocks_of_wide_and_few_rows(spark):
     out = ml.pca_by_blocks(df, 10)
     assert len(out["variance"]) == 4 and out["variance_ratio"].sum() == pytest.approx(1)
     assert df.where(F.lit(False)).count() == 0
+
+
+def test_dual_branch(spark):
+    from ionloom.operators import pseudotime
+
+    schema = "bin long, metabolite string, stat double, frac double"
+    left = [(0, "a", 1.0, 0.5), (10, "a", 3.0, None), (0, "b", 2.0, 0.25), (0, "d", 1.0, 1.0), (0, "e", 1.0, 9.0)]
+    right = [(0, "a", 5.0, 0.0), (20, "a", None, 0.1), (0, "b", 2.0, 1.0), (0, "c", 1.0, 1.0), (0, "e", 1.0, 0.0)]
+    order = spark.createDataFrame([("b", 1), ("a", 5), ("c", 2)], "metabolite string, position int")
+    p = spark.createDataFrame([("a", 0.00123), ("b", None)], "metabolite string, pval_adj double")
+    got = {(r.branch, r.metabolite, r.y): r for r in pseudotime.dual_branch(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), order, p).collect()}
+    assert {k[:2] + (k[2], r.x) for k, r in got.items()} == {("left", "a", 0, 1), ("left", "a", 10, 1), ("right", "a", 0, 1), ("right", "a", -20, 1), ("left", "b", 0, 0), ("right", "b", 0, 0)}
+    sd = np.std([1.0, 3.0, 5.0])
+    assert got["left", "a", 0].z == pytest.approx(-2 / sd) and got["right", "a", -20].z is None and got["left", "b", 0].z == 0
+    assert got["left", "a", 0].label == "a (1.23E-03)" and got["left", "b", 0].label == "b"
+    assert got["right", "b", 0].size == 300 and got["left", "a", 10].size == 20 and got["left", "b", 0].size == 90
