@@ -177,3 +177,26 @@ def test_periods():
     assert signal.normal_periods((1, 2)) == [(1, 2)]
     with pytest.raises(ValueError, match="after its end"):
         signal.normal_periods([(2, 1)])
+
+
+def test_flanks_equal_sliding_means(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    rows = [(k, int(i * 3), None if rnd.random() < 0.2 else float(rnd.normal(50, 9))) for k, n in (("a", 9000), ("b", 7), ("c", 1)) for i in range(n)]
+    rows += [(None, i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, index long, baseline double").repartition(5)
+    for reach in (5, 2500, 5000):
+        got = {(r.k, r["index"]): r for r in signal.flank_check(df, ["k"], reach=reach).collect()}
+        assert len(got) == len(rows) and set(next(iter(got.values())).asDict()) == {"k", "index", "baseline", "flank", "stable"}
+        for key in ("a", "b", "c", None):
+            own = [(i, v) for k, i, v in rows if k == key]
+            for at in {0, 1, len(own) // 2, len(own) - 1, min(4095, len(own) - 1), min(4096, len(own) - 1), min(4999, len(own) - 1)}:
+                if at >= len(own):
+                    continue
+                after, before = ([v for _, v in part if v is not None] for part in (own[at : at + reach], own[max(0, at - reach) : at]))
+                flank = got[key, own[at][0]].flank
+                if after and before:
+                    assert flank == pytest.approx(np.mean(after) - np.mean(before), abs=1e-9)
+                else:
+                    assert flank is None
