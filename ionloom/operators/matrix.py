@@ -114,6 +114,33 @@ def filter_features(long: DataFrame, *, min_cells=None, max_cells=None, min_inte
     return metrics.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
+def _within(metrics: DataFrame, bounds: Mapping[str, tuple]) -> DataFrame:
+    if gone := [c for c in bounds if c not in metrics.columns]:
+        raise ValueError(f"no such metrics: {gone}")
+    return metrics.where(reduce(lambda a, b: a & b, [t for c, (low, high) in bounds.items() for t in _bounds(c, low, high)], F.lit(True)))
+
+
+def select_cells(long: DataFrame, obs: DataFrame, bounds: Mapping[str, tuple], only_detected: bool = False) -> dict[str, DataFrame]:
+    """Cells whose metrics in ``obs`` lie within closed bounds (None: open), as they are: ``obs``, their ``matrix``, and ``var``, the features' metrics made anew from them.
+
+    A null metric is within no bound; with no cells left there are no features.
+    """
+    kept = _within(obs, bounds)
+    matrix = long.join(kept.select("cell"), "cell", "left_semi")
+    return {"obs": kept, "matrix": matrix, "var": feature_metrics(matrix, only_detected)}
+
+
+def select_features(long: DataFrame, var: DataFrame, bounds: Mapping[str, tuple]) -> dict[str, DataFrame]:
+    """Features whose metrics in ``var`` lie within closed bounds (None: open): ``var``, their ``matrix``, and ``obs``, the cells' metrics made anew from them.
+
+    Every cell has its metrics, 0 where no feature is left.
+    """
+    kept = _within(var, bounds)
+    matrix = long.join(kept.select("feature"), "feature", "left_semi")
+    cells = long.select("cell").distinct().join(cell_metrics(matrix), "cell", "left")
+    return {"var": kept, "matrix": matrix, "obs": cells.select("cell", F.coalesce("n_metabolites", F.lit(0)).alias("n_metabolites"), F.coalesce("total_intensity", F.lit(0.0)).alias("total_intensity"))}
+
+
 def sample(df: DataFrame, column: str, ids: DataFrame, exclude: bool = False) -> DataFrame:
     """Rows whose id is (not) in a list, which may be of any size."""
     return df.join(ids.select(column).distinct(), column, "left_anti" if exclude else "left_semi")

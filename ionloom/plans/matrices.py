@@ -358,6 +358,30 @@ def metadata_first_match(spark, sf):
     return first_match(table(spark, sf, "customer").select("c_custkey"), orders, ["c_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderdate", "o_orderpriority"])
 
 
+# selection by metrics there are, and the other side's metrics made again
+
+
+@query(
+    "select_cells",
+    f"""{_G}, o AS (SELECT cell FROM g GROUP BY cell HAVING count(*) FILTER (value > 0) >= 30 AND coalesce(sum(value), 0) <= 2500)
+       SELECT feature, (count(*) FILTER (value > 0))::BIGINT AS hits, {fixed_sql("(count(*) FILTER (value > 0))::DOUBLE / nullif(count(value), 0) * 100")} AS hit_rate, {fixed_sql("avg(value)")} AS mean_intensity FROM g WHERE cell IN (SELECT cell FROM o) GROUP BY feature""",
+)
+def select_cells(spark, sf):
+    g = gapped(spark, sf)
+    var = matrix.select_cells(g, matrix.cell_metrics(g), {"n_metabolites": (30, None), "total_intensity": (None, 2500)})["var"]
+    return var.select("feature", "hits", fixed(F.col("hit_rate")).alias("hit_rate"), fixed(F.col("mean_intensity")).alias("mean_intensity"))
+
+
+@query(
+    "select_features",
+    f"""{_G}, v AS (SELECT feature FROM g GROUP BY feature HAVING (count(*) FILTER (value > 0))::DOUBLE / nullif(count(value), 0) * 100 BETWEEN 55 AND 75)
+       SELECT cell, (count(*) FILTER (value > 0 AND feature IN (SELECT feature FROM v)))::BIGINT AS n_metabolites, coalesce(sum(value) FILTER (feature IN (SELECT feature FROM v)), 0.0::DOUBLE) AS total_intensity FROM g GROUP BY cell""",
+)
+def select_features(spark, sf):
+    g = gapped(spark, sf)
+    return matrix.select_features(g, matrix.feature_metrics(g), {"hit_rate": (55, 75)})["obs"]
+
+
 # pseudotime
 
 _PSEUDO = """long AS (SELECT user_id AS cell, event_id / 40.0::DOUBLE AS pseudotime, event_type AS metabolite, round(value * 100)::BIGINT::DOUBLE AS value FROM events),

@@ -101,3 +101,19 @@ def test_dual_branch(spark):
     assert got["left", "a", 0].z == pytest.approx(-2 / sd) and got["right", "a", -20].z is None and got["left", "b", 0].z == 0
     assert got["left", "a", 0].label == "a (1.23E-03)" and got["left", "b", 0].label == "b"
     assert got["right", "b", 0].size == 300 and got["left", "a", 10].size == 20 and got["left", "b", 0].size == 90
+
+
+def test_selection_makes_metrics_anew(spark):
+    from ionloom.operators import matrix
+
+    long = spark.createDataFrame([(1, "f", 2.0), (1, "g", 0.0), (2, "f", 4.0), (2, "g", None), (3, "f", 0.0), (3, "g", 9.0)], "cell int, feature string, value double")
+    obs = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, None), (4, 2.0)], "cell int, own double")
+    got = matrix.select_cells(long, obs, {"own": (1.0, 5.0)})
+    assert {r.cell for r in got["obs"].collect()} == {1, 2, 4} and got["matrix"].count() == 4
+    assert {r.feature: (r.hits, r.hit_rate, r.mean_intensity) for r in got["var"].collect()} == {"f": (2, 100.0, 3.0), "g": (0, 0.0, 0.0)}
+    got = matrix.select_features(long, matrix.feature_metrics(long), {"hits": (2, None)})
+    assert {r.cell: (r.n_metabolites, r.total_intensity) for r in got["obs"].collect()} == {1: (1, 2.0), 2: (1, 4.0), 3: (0, 0.0)}
+    none = matrix.select_features(long, matrix.feature_metrics(long), {"hits": (9, None)})
+    assert {tuple(r) for r in none["obs"].collect()} == {(1, 0, 0.0), (2, 0, 0.0), (3, 0, 0.0)}
+    with pytest.raises(ValueError):
+        matrix.select_cells(long, obs, {"other": (0, 1)})
