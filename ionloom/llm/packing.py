@@ -184,6 +184,7 @@ def pack(
     ``sequence_id`` is unique; pieces lie in a sequence one after another from offset 0.
     ``with_ids`` adds the token ids of each piece.
     """
-    dealt = texts(docs, id_col, text_col).withColumn("deal", F.rand(seed)).repartition("deal").select("doc_id", "text")
+    # sorted, so that a task that runs again packs the same sequences
+    dealt = texts(docs, id_col, text_col).withColumn("deal", F.rand(seed)).repartition("deal").sortWithinPartitions("deal", "doc_id").select("doc_id", "text")
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     return dealt.mapInArrow(_pack_partition(tokenizer_path, capacity, group_tokens, end_id, with_ids), schema)
