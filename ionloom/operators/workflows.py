@@ -16,6 +16,7 @@ from ..sources.config import main_marker
 from . import joins, peaks, signal
 from .batch import align, kept_cells, merge
 from .features import annotate, hit_rate_features
+from .storage import Step
 
 KEYS = ("run_id",)
 
@@ -33,7 +34,8 @@ def channel(scans: DataFrame, peak_table: DataFrame, marker: str, target: float
 def extract_events(scans: DataFrame, peak_table: DataFrame, markers: Mapping[str, float | None], main: str = "", *, poor: Sequence[tuple] = (), offset: int = 1, k: float = 3, interval: int = 6, ppm: float = 10, size: int = 100, method: str = "mixture_spline", first_ppm: float = 20) -> dict[str, DataFrame]:
     """Cell events: ``signals`` (all markers), ``events`` by strategy, ``cells`` numbered in acquisition order.
 
-    With several markers the cells are the main marker's events matched in every other one.
+    With several markers the cells are the main marker's events matched in every other one.  The markers'
+    events are written when this is called.
     """
     markers = dict(markers) or {"TIC": None}
     main = main_marker(markers, main)
@@ -43,7 +45,8 @@ def extract_events(scans: DataFrame, peak_table: DataFrame, markers: Mapping[str
     for name, target in markers.items():
         one = channel(masked, hidden, name, target, ppm, first_ppm)
         signals = one if signals is None else signals.unionByName(one)
-        found[name] = signal.detect_events(one, ["run_id", "marker"], k, interval, size, method).select("run_id", "index")
+        # each set of events is few rows and is used in several merges
+        found[name] = Step(signal.detect_events(one, ["run_id", "marker"], k, interval, size, method).select("run_id", "index")).df
     events = {m: e for m, e in found.items()}
     cells = found[main]
     if len(found) > 1:
