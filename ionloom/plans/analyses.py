@@ -28,7 +28,14 @@ def extract_events(spark, sf):
     return out["events"].select("run_id", "strategy", "scan_index")
 
 
-@query("cell_peaks")
+@query(
+    "cell_peaks",
+    """WITH c AS (SELECT DISTINCT o_orderkey AS cell FROM orders),
+       near AS (SELECT cell, l_extendedprice AS mz, l_quantity AS intensity, l_orderkey - cell AS pos FROM c JOIN lineitem ON l_orderkey BETWEEN cell - 1 AND cell + 1),
+       m AS (SELECT *, CASE WHEN (mz - lag(mz) OVER w) / lag(mz) OVER w * 1e6 <= 200 THEN 0 ELSE 1 END AS new FROM near WINDOW w AS (PARTITION BY cell ORDER BY mz)),
+       i AS (SELECT *, sum(new) OVER (PARTITION BY cell ORDER BY mz) AS island FROM m)
+       SELECT printf('Cell%05d', cell) AS cell, mz, intensity, pos::BIGINT AS pos FROM i QUALIFY row_number() OVER (PARTITION BY i.cell, island ORDER BY intensity DESC, mz, pos) = 1""",
+)
 def cell_peaks(spark, sf):
     scans, peak_table = _acquisition(spark, sf)
     cells = scans.select("run_id", "scan_index", F.format_string("Cell%05d", F.col("scan_index")).alias("cell"))
