@@ -8,9 +8,8 @@ character by character, a base64 or compressed run maps as a whole, so what is f
 becomes a span of the text.
 
 Compressed data are inflated portion by portion, each a layer that begins with the end of the one
-before it, so a small text that holds a huge one needs no more memory than a few portions and the
-longest encoded run or compressed data inside; nothing of it is left out.  The worklist holds one open
-layer for each depth.  An escape escaped over and over (``%252525...41``) is peeled at once.
+before it, so a small text that holds a huge one needs no more memory than a few portions; nothing of
+it is left out.  The worklist holds one open layer for each depth.  An escape escaped over and over (``%252525...41``) is peeled at once.
 """
 
 from __future__ import annotations
@@ -75,8 +74,9 @@ def find(text: str) -> list[tuple[int, str, int]]:
 
 #: Bytes of inflated data in a layer, and how many of them the next layer repeats at least: more, where an
 #: encoded run or compressed data begin before that and go on.  All of inflated data stands for one span, so
-#: a longer secret is found by its pieces.
-PORTION, OVERLAP = 4 << 20, 1 << 18
+#: a longer secret is found by its pieces.  A layer has LONGEST bytes at most, as memory must have a bound:
+#: an encoded run or compressed data longer than that, themselves inside inflated data, are seen in pieces.
+PORTION, OVERLAP, LONGEST = 4 << 20, 1 << 18, 16 << 20
 #: Bytes that are fed to an inflater at once; where one fails, what it gave before is kept.
 FEED = 4096
 
@@ -220,8 +220,10 @@ def _windows(parts: Iterator[bytes]) -> Iterator[bytes]:
             whole = bytes(held)
             start = _open_start(whole)
             if start < len(whole) // 2:
-                most = 2 * len(whole)
-                continue
+                if len(whole) < LONGEST:
+                    most = 2 * len(whole)
+                    continue
+                start = len(whole) - OVERLAP
             yield whole
             held, fresh, most = bytearray(whole[start:]), False, max(PORTION, 2 * (len(whole) - start))
     if fresh:

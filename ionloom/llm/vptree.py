@@ -33,7 +33,7 @@ def distances(points: np.ndarray, query: np.ndarray) -> np.ndarray:
 class VantageTree:
     """Nodes hold the vantage point's row, the least and greatest distances of each half, and the halves."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 64, seed: int = 5):
+    def __init__(self, points: np.ndarray, leaf: int = 512, seed: int = 5):
         self.points, self.leaf = points, leaf
         self.random = np.random.default_rng(seed)
         self.nodes: list[tuple] = []
@@ -87,10 +87,27 @@ class VantageTree:
                         self._visit(child, who[go])
 
     def _scan(self, rows: np.ndarray, who: np.ndarray) -> None:
-        away = distances(self.points[rows][None, :, :], self.queries[who][:, None, :])
-        away[self.own[who][:, None] == self.names[rows][None, :]] = np.inf
+        # a matrix product says which can be among the nearest; these get their distance exactly
+        near, asked = self.points[rows], self.queries[who]
+        squares, lengths = (near * near).sum(axis=1), (asked * asked).sum(axis=1)
+        rough = lengths[:, None] + squares[None, :] - 2 * asked @ near.T
+        hair = (1e-12 + 1e-15 * near.shape[1]) * (lengths[:, None] + squares[None, :])
+        # what overflows isn't ruled out
+        row, col = np.nonzero(~(rough > self.best[who, -1][:, None] ** 2 * (1 + 1e-12) + hair))
+        keep = self.own[who[row]] != self.names[rows[col]]
+        row, col = row[keep], col[keep]
+        if not len(row):
+            return
+        met, row = np.unique(row, return_inverse=True)
+        who = who[met]
+        exact = distances(near[col], asked[met[row]])
+        # of each query, its finds side by side
+        count = np.bincount(row, minlength=len(who))
+        place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+        away, found = np.full((len(who), count.max()), np.inf), np.full((len(who), count.max()), -1, np.int64)
+        away[row, place], found[row, place] = exact, rows[col]
         every = np.concatenate([self.best[who], away], axis=1)
-        which = np.concatenate([self.found[who], np.broadcast_to(rows, away.shape)], axis=1)
+        which = np.concatenate([self.found[who], found], axis=1)
         order = np.lexsort((np.where(which < 0, np.iinfo(np.int64).max, self.names[which]), every), axis=1)[:, : self.k]
         self.best[who] = np.take_along_axis(every, order, 1)
         self.found[who] = np.where(np.isinf(self.best[who]), -1, np.take_along_axis(which, order, 1))
@@ -185,7 +202,7 @@ def nearest(
     vector_col: str = "embedding",
     k: int = 10,
     shard_rows: int = 1 << 15,
-    leaf: int = 64,
+    leaf: int = 512,
     slack: float = 1.0,
     block: int = 256,
 ) -> DataFrame:
@@ -204,7 +221,7 @@ def nearest(
     n = points.count()
     # a small table still makes a shard for each shuffle partition, as long as shards are worth a tree
     wide = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, -(-n // shard_rows), min(wide, n // (32 * leaf)))
+    shards = max(1, -(-n // shard_rows), min(wide, n // (8 * leaf)))
     points = points.mapInArrow(_collapse(k), "vec_id long, v array<double>")
     dealt = points.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "vec_id", "v")
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "v")
