@@ -46,9 +46,19 @@ class ByteLevelEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.memo: dict[str, np.ndarray] = {}
         self.memo_limit = memo_limit
         self.engine = self._engine(spec)
+        self.forget()
+        if self.engine is not None:
+            #: Bytes of each token.
+            self.widths = np.zeros(self.engine.n_vocab, np.int64)
+            for token in self.engine.token_byte_values():
+                self.widths[self.engine.encode_single_token(token)] = len(token)
+
+    def forget(self) -> None:
+        """Empty the memo of :meth:`spans`: the number of each chunk, the ids of all, where a chunk's begin and how many they are."""
+        self.numbers: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     @staticmethod
     def _engine(spec: dict):
@@ -71,19 +81,41 @@ class ByteLevelEncoder:
             return self.library.encode(text, add_special_tokens=False).ids
         return self.engine.encode_ordinary(text)
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        memo, encode = self.memo, self.encode
-        if len(memo) > self.memo_limit:
-            memo.clear()
-        out = []
-        for chunk in chunks:
-            ids = memo.get(chunk)
-            if ids is None:
-                ids = np.array(encode(chunk), dtype=np.uint32)
-                if len(chunk) <= 64:
-                    memo[chunk] = ids
-            out.append(ids)
-        return out
+    def spans(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids known, and for each chunk where its ids begin there and how many they are.
+
+        Chunks that begin with a space and end in none are encoded in one go: a token never holds a
+        non-space followed by a space, so their ids are cut apart where the tokens' bytes fill a chunk.
+        """
+        if len(self.numbers) > self.memo_limit or len(self.flat) > 16 * self.memo_limit:
+            self.forget()
+        got = list(map(self.numbers.get, chunks))
+        lost = [k for k, x in enumerate(got) if x is None]
+        if lost:
+            flat, sizes = [self.flat], np.zeros(len(lost), np.int64)
+            free = [self.engine is not None and c[:1] == " " and not c[-1].isspace() for c in map(chunks.__getitem__, lost)]
+            joined = [k for k, x in zip(lost, free) if x]
+            alone = [k for k, x in zip(lost, free) if not x]
+            if joined:
+                ids = self.engine.encode_to_numpy("".join(map(chunks.__getitem__, joined)), disallowed_special=())
+                ends = np.cumsum([len(chunks[k].encode()) for k in joined])
+                cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+                sizes[: len(joined)] = np.diff(cuts, prepend=0)
+                flat.append(ids)
+            for at, k in enumerate(alone, len(joined)):
+                ids = np.array(self.encode(chunks[k]), np.uint32)
+                sizes[at] = len(ids)
+                flat.append(ids)
+            first = len(self.starts)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate(flat)
+            for number, k in enumerate(joined + alone, first):
+                got[k] = number
+                if len(chunks[k]) <= 64:
+                    self.numbers[chunks[k]] = number
+        number = np.array(got, np.int64)
+        return self.flat, self.starts[number], self.sizes[number]
 
 
 def split_batch(texts: pa.Array, specials: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:

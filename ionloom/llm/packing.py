@@ -146,10 +146,7 @@ def _pack_partition(path: str, capacity: int, group_tokens: int, end_id: int | N
 def encode_batch(encoder: ByteLevelEncoder, column: pa.Array) -> list[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit integers."""
     codes, chunks, docs, whole = split_batch(column, encoder.specials)
-    known = encoder.encode_chunks(chunks)
-    sizes = np.array([len(x) for x in known], dtype=np.int64)
-    flat = np.concatenate(known) if known else np.empty(0, np.uint32)
-    starts = np.cumsum(sizes) - sizes
+    flat, starts, sizes = encoder.spans(chunks)
     n = sizes[codes]
     ends = np.cumsum(n)
     where = np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)

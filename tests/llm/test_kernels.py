@@ -172,3 +172,17 @@ def test_trees_learn_and_calibrate():
     y = ((x[:, 0] > 2) ^ (x[:, 1] > 2)).astype(float)
     trees = pii.Trees().fit(x, y)
     assert trees.held_out["precision"] >= 0.97 and trees.held_out["recall"] >= 0.9
+
+
+def test_unknown_chunks_are_encoded_in_one_go(monkeypatch):
+    encoder = chunks.ByteLevelEncoder(public_tokenizers.path("byte_bpe_50k.json"), memo_limit=300)
+    rnd = random.Random(5)
+    piece = lambda: "".join(rnd.choice(["a", "the", "ing", "é", "日", "\n", "\t", "\u3000", "'s", "1", "!", "😀", "\x1c"]) for _ in range(rnd.choice((1, 3, 90))))
+    alone, encode = [], encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda c: alone.append(c) or encode(c))
+    for _ in range(6):  # over the memo's limit, too
+        some = ["", " ", "x", *{" " + piece() for _ in range(200)}, *{piece() for _ in range(9)}]
+        flat, starts, sizes = encoder.spans(some)
+        for c, at, n in zip(some, starts.tolist(), sizes.tolist()):
+            assert flat[at : at + n].tolist() == encode(c)
+    assert {c for c in alone if c[:1] == " " and not c[-1].isspace()} == set()
