@@ -5,6 +5,7 @@ import zipfile
 
 import pytest
 
+from ionloom.plans import all_queries
 from ionloom.sources import tables, workbooks
 
 ODD = "a <b> & \"c\" é\U0001f600\n\ttab _x0041_ \x01 end "
@@ -74,6 +75,15 @@ def test_a_matrix_of_cells(spark, tmp_path):
     assert got == {"f": (3.0, 2.0), "g": (4.0, None)}
 
 
+def test_a_matrix_of_cells_as_rows(spark):
+    matrix = spark.createDataFrame([(1, "f", 2.0), (1, "f", 1.0), (2, "f", 3.0), (2, "g", 4.0), (9, "g", 5.0)], "cell int, feature string, value double")
+    obs = spark.createDataFrame([(1, 9.0), (2, 1.0)], "cell int, scan_start_time double")
+    got = tables.cell_feature_rows(matrix, obs, matrix.select("feature").distinct())
+    assert sorted(map(tuple, got.collect())) == [("f", "Cell00001", 3.0), ("f", "Cell00002", 2.0), ("g", "Cell00001", 4.0), ("g", "Cell00002", None)]
+    query = all_queries()["cell_feature_table"](spark, "/root/testdata/sf0.001")
+    assert "pivot" not in query._jdf.queryExecution().toString().lower()  # no column for each cell on the way
+
+
 def test_columns_by_letters():
     assert [workbooks.letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
     assert all(workbooks.number(workbooks.letters(i) + "7") == i for i in range(0, 16_384, 37))
