@@ -117,3 +117,31 @@ def test_selection_makes_metrics_anew(spark):
     assert {tuple(r) for r in none["obs"].collect()} == {(1, 0, 0.0), (2, 0, 0.0), (3, 0, 0.0)}
     with pytest.raises(ValueError):
         matrix.select_cells(long, obs, {"other": (0, 1)})
+
+
+@pytest.mark.parametrize("n, width, k", [(700, 5, 4), (900, 10, 45), (40, 3, 50)])
+def test_nearest_equals_brute_force(n, width, k):
+    rnd = np.random.default_rng(n)
+    x, ids = rnd.integers(0, 4, (n, width)).astype(float), rnd.permutation(n) * 3
+    x[8:20], x[20:30], x[5], x[6], x[7] = x[8], 1e9 + rnd.normal(size=(10, width)), np.nan, 1e200, 1e-30
+    near = ml.Nearest(ids, x, k)
+    for lo in range(0, n, 133):
+        near.meet(ids[lo : lo + 133], x[lo : lo + 133], block=64)
+    with np.errstate(all="ignore"):
+        d = np.zeros((n, n))
+        for j in range(width):
+            d += (x[:, j, None] - x[None, :, j]) ** 2
+        d = np.sqrt(d)
+    d[np.diag_indices(n)] = np.inf
+    for i in range(n):
+        want = [(ids[j], d[i, j]) for j in np.lexsort((ids, d[i]))[:k] if np.isfinite(d[i, j])]
+        there = np.isfinite(near.distance[i])
+        assert want == list(zip(near.near[i][there], near.distance[i][there]))
+
+
+def test_copies_of_a_vector_do_not_meet_all_their_like(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(3000)] + [(3000 + i, [float(i), 0.0]) for i in range(5)]
+    got = ml.neighbours(spark.createDataFrame(rows, "cell long, v array<double>"), 3, vector="v", shard_rows=500)
+    assert {(r.src, r.dst) for r in got.where("src = 2999 or src = 1").collect()} == {(2999, 0), (2999, 1), (2999, 2), (1, 0), (1, 2), (1, 3)}
+    assert got.count() == 3 * 3005
+    assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
