@@ -25,7 +25,9 @@ LEAST_GAIN = 1e-12
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight") -> DataFrame:
     """``a, b, w``: each pair of distinct ends in both directions, repeated pairs summed."""
     own = edges.where((F.col(a) != F.col(b)) & (F.col(weight) > 0)).select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), F.col(weight).cast("double").alias("w"))
-    return own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    # in one pass: what the edges are made from runs once
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return own.select(ways.alias("e"), "w").groupBy("e.a", "e.b").agg(F.sum("w").alias("w"))
 
 
 class _Level:

@@ -234,3 +234,27 @@ def test_queries(spark, tmp_path):
     assert len(got) == 150 and len({r.community for r in got}) == 6
     assert known["neighbour_descent"](spark, str(tmp_path)).count() == 150 * 15
     assert known["graph_modularity"](spark, str(tmp_path)).first()[0] is not None
+
+
+def test_edges_are_made_once(spark):
+    """Both directions of an edge come from one pass over what makes the edges."""
+
+    def counted(rows, schema):
+        made = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return spark.createDataFrame(rows, schema).mapInArrow(run, schema), made
+
+    links = [(1, 2, 0.5), (2, 3, 1.0), (3, 1, 0.25), (4, 5, 1.0)]
+    edges, made = counted(links, "a long, b long, weight double")
+    labels = spark.createDataFrame([(i, i // 4) for i in range(1, 6)], "node long, community long")
+    assert communities.modularity(edges, labels).first()[0] is not None and made.value == 4
+    near, made = counted(links[:3], "src long, dst long, distance double")
+    assert layout.affinities(near, 2).count() == 6 and made.value == 3
+    edges, made = counted(links, "a long, b long, weight double")
+    start = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 6)], "id long, y array<double>")
+    assert layout.umap_layout(edges, start, rounds=1, epochs=1).count() == 5 and made.value == 4
